@@ -96,7 +96,7 @@ def decide(p: Column, threshold: float = 0.5) -> Column:
 
 
 def metric_text(col: Column) -> Column:
-    return F.coalesce(F.format_string("%.6f", col), F.lit("n/a"))
+    return F.when(col.isNull(), "n/a").otherwise(F.format_string("%.6f", col))
 
 
 def logit_loss(z: Column, y: Column) -> Column:

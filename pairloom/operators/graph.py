@@ -40,19 +40,20 @@ def vector_mean(v: Column, weight: Column | None = None) -> Column:
 
 
 def _cells(emb: DataFrame, vec: str, tau: float) -> DataFrame:
-    """Place vectors on a grid of width ``tau`` over their two main directions.
+    """Place vectors on a grid just wider than ``tau`` over their two main directions.
 
     The directions are orthonormal, so a projected difference never exceeds the
     distance: two vectors within ``tau`` lie in the same or in adjacent cells.
     Every vector is at home in its cell and visits half of the adjacent ones, so
     each pair of cells meets once.
     """
-    dense = emb.withColumn("_v", array_to_vector(as_double(F.col(vec))))
-    projected = PCA(k=2, inputCol="_v", outputCol="_p").fit(dense).transform(dense)
+    dense = emb.withColumn("_dense", array_to_vector(as_double(F.col(vec))))
+    projected = PCA(k=2, inputCol="_dense", outputCol="_p").fit(dense).transform(dense)
     at = vector_to_array("_p")
+    width = tau * (1.0 + 1e-6)  # room for rounding in the projection
     placed = projected.withColumns(
-        {"_x": F.floor(at[0] / tau), "_y": F.floor(at[1] / tau)}
-    ).drop("_v", "_p")
+        {"_x": F.floor(at[0] / width), "_y": F.floor(at[1] / width)}
+    ).drop("_dense", "_p")
     spots = [(0, 0, 1), (1, -1, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0)]
     visit = F.explode(F.array(*[
         F.struct((F.col("_x") + dx).alias("x"), (F.col("_y") + dy).alias("y"), F.lit(bool(home)).alias("home"))

@@ -33,9 +33,10 @@ def positives(links: DataFrame, left: DataFrame, right: DataFrame,
               left_id: str = "drug_id", right_id: str = "prot_id") -> DataFrame:
     """Distinct links whose two ends both survive."""
     known = links.select(left_id, right_id).na.drop().distinct()
-    return known.join(left.select(left_id), left_id, "left_semi").join(
+    kept = known.join(left.select(left_id), left_id, "left_semi").join(
         right.select(right_id), right_id, "left_semi"
     )
+    return kept.select(left_id, right_id)
 
 
 def unmapped(rel: DataFrame, entities: DataFrame, ident: str) -> DataFrame:
@@ -175,9 +176,9 @@ def submatrix(links: DataFrame, left: DataFrame, right: DataFrame, k_left: int,
     """Links among sampled entities; entities left without a link drop out by themselves."""
     rows = sample_exact(left.select(left_id).distinct(), k_left, seeded_hash(seed, left_id))
     cols = sample_exact(right.select(right_id).distinct(), k_right, seeded_hash(f"{seed}:right", right_id))
-    return links.select(left_id, right_id).distinct().join(rows, left_id, "left_semi").join(
-        cols, right_id, "left_semi"
-    )
+    known = links.select(left_id, right_id).distinct()
+    kept = known.join(rows, left_id, "left_semi").join(cols, right_id, "left_semi")
+    return kept.select(left_id, right_id)
 
 
 def known_targets(rel: DataFrame, entities: DataFrame, ident: str = "prot_id") -> DataFrame:

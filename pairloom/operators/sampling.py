@@ -45,10 +45,12 @@ class HashCuts:
             return df.withColumns(
                 {f"_cut_{n}": F.lit(named.get(n)).cast("string") for n in self.names}
             )
-        fields = [*self.group_fields, *[StructField(f"_cut_{n}", StringType()) for n in self.names]]
+        groups = [StructField(f"_g_{f.name}", f.dataType) for f in self.group_fields]
+        hashes = [StructField(f"_cut_{n}", StringType()) for n in self.names]
         data = [(*group, *[named.get(n) for n in self.names]) for group, named in self.rows]
-        table = self.spark.createDataFrame(data, StructType(fields))
-        return df.join(F.broadcast(table), [f.name for f in self.group_fields], "left")
+        table = self.spark.createDataFrame(data, StructType([*groups, *hashes]))
+        same = [F.col(f.name).eqNullSafe(F.col(f"_g_{f.name}")) for f in self.group_fields]
+        return df.join(F.broadcast(table), same, "left").drop(*[f.name for f in groups])
 
     def drop(self, df: DataFrame) -> DataFrame:
         return df.drop(*[f"_cut_{n}" for n in self.names])
@@ -118,15 +120,17 @@ def hash_cuts(
         return HashCuts(spark, group_fields, tuple(ranks), ())
 
     # Rank only the rows of the bucket each cut falls in.
-    edge_table = F.broadcast(spark.createDataFrame(edges, edge.schema))
-    order = Window.partitionBy(*g, "_name").orderBy("_h")
+    named_edges = StructType([StructField(f"_e{f.name}", f.dataType) for f in edge.schema])
+    edge_table = F.broadcast(spark.createDataFrame(edges, named_edges))
+    same = [F.col(c).eqNullSafe(F.col(f"_e{c}")) for c in [*g, "_p"]]
+    order = Window.partitionBy(*g, "_e_name").orderBy("_h")
     last = (
         base.where("_in")
         .select(*g, digits, "_h")
-        .join(edge_table, [*g, "_p"])
+        .join(edge_table, same)
         .withColumn("_rn", F.row_number().over(order))
-        .where(F.col("_rn") == F.col("_need"))
-        .select(*g, "_name", "_h")
+        .where(F.col("_rn") == F.col("_e_need"))
+        .select(*g, F.col("_e_name").alias("_name"), "_h")
         .collect()
     )
     found: dict[tuple, dict[str, str]] = {}

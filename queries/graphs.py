@@ -171,13 +171,13 @@ SHINGLE_SQL = """items AS (SELECT doc_id, list_sort(list_distinct(list_transform
 sets AS (SELECT min(doc_id) AS rep, count(*) AS n, items, len(items) AS size FROM items GROUP BY items),
 postings AS (SELECT rep, size, unnest(items) AS item FROM sets),
 overlap AS (SELECT a.rep AS a, b.rep AS b, any_value(a.size) AS na, any_value(b.size) AS nb, count(*) AS both_n
-  FROM postings a JOIN postings b ON a.item = b.item AND a.rep < b.rep AND least(a.size, b.size) >= 0.7 * greatest(a.size, b.size) GROUP BY a.rep, b.rep),
-similar_sets AS (SELECT a, b, both_n / (na + nb - both_n)::DOUBLE AS sim FROM overlap WHERE both_n / (na + nb - both_n)::DOUBLE >= 0.7)"""
+  FROM postings a JOIN postings b ON a.item = b.item AND a.rep < b.rep AND least(a.size, b.size) >= 0.8 * greatest(a.size, b.size) GROUP BY a.rep, b.rep),
+similar_sets AS (SELECT a, b, both_n / (na + nb - both_n)::DOUBLE AS sim FROM overlap WHERE both_n / (na + nb - both_n)::DOUBLE >= 0.8)"""
 
 
 def _similar(spark: SparkSession, sf_dir: str) -> similarity.SimilarSets:
     docs = B.table(spark, sf_dir, "documents")
-    return similarity.similar_sets(similarity.shingles(docs, "doc_id", "text"), "doc_id", 0.7)
+    return similarity.similar_sets(similarity.shingles(docs, "doc_id", "text"), "doc_id", 0.8)
 
 
 @query(f"WITH {SHINGLE_SQL} SELECT a, b, round(sim, 6) AS sim FROM similar_sets")

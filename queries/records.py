@@ -87,11 +87,11 @@ def affinity_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {MEASURE_SQL} SELECT drug_id, prot_id, round(-log10(label * 1e-9::DOUBLE), 5) AS p,
-round(pow(10::DOUBLE, log10(label * 1e-9::DOUBLE)) / 1e-9::DOUBLE, 3) AS back FROM means""")
+round(pow(10::DOUBLE, log10(label * 1e-9::DOUBLE)) / 1e-9::DOUBLE, 4) AS back FROM means""")
 def affinity_plog(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = affinity.to_label(_means(spark, sf_dir), None)
     return p.select(
-        "drug_id", "prot_id", F.round("label", 5).alias("p"), F.round(S.p_to_nm(F.col("label")), 3).alias("back")
+        "drug_id", "prot_id", F.round("label", 5).alias("p"), F.round(S.p_to_nm(F.col("label")), 4).alias("back")
     )
 
 

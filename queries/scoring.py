@@ -191,8 +191,8 @@ def _catalogue_sql() -> str:
 
 @query(f"""WITH {LOG_SQL}, {_catalogue_sql()},
 m AS (SELECT c.*, run // 24 AS tag, auc, auprc FROM parsed JOIN catalogue c ON c.i = run % 24 WHERE auc IS NOT NULL AND auprc IS NOT NULL)
-SELECT dataset, scenario, scenario_key, count(*) AS runs, round(avg(auc), 5) AS mean_auc, round(coalesce(stddev_samp(auc), 0), 5) AS std_auc,
-  round(avg(auprc), 5) AS mean_auprc, round(coalesce(stddev_samp(auprc), 0), 5) AS std_auprc, best_param_name
+SELECT dataset, scenario, scenario_key, count(*) AS runs, round(avg(auc), 9) AS mean_auc, round(coalesce(stddev_samp(auc), 0), 9) AS std_auc,
+  round(avg(auprc), 9) AS mean_auprc, round(coalesce(stddev_samp(auprc), 0), 9) AS std_auprc, best_param_name
 FROM m GROUP BY dataset, scenario, scenario_key, best_param_name""")
 def scenario_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run logs dealt out over the scenario catalogue, then summarised."""
@@ -205,9 +205,7 @@ def scenario_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     tagged = runs.join(listed, "i")
     planned = tagged.select("dataset", "scenario", "scenario_key", "best_param_name", "run_tag")
-    out = scenarios.summarise(planned, tagged.select("dataset", "scenario_key", "run_tag", "auc", "auprc"))
-    rounded = {c: F.round(c, 5) for c in ("mean_auc", "std_auc", "mean_auprc", "std_auprc")}
-    return out.withColumns(rounded)
+    return scenarios.summarise(planned, tagged.select("dataset", "scenario_key", "run_tag", "auc", "auprc"), 9)
 
 
 # --- export ----------------------------------------------------------------
