@@ -8,9 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The twenty canonical residues, the SMILES characters accepted
-# for affinity data, and the length limits.
+# for affinity data, the characters that count as white space, and the limits.
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 SMILES_CHARACTERS = r"A-Za-z0-9\(\)\[\]\-\.=#$:/+"
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 MAX_SMILES = 510
 MAX_SEQUENCE = 700
 MIN_STRUCTURE = 30
@@ -19,7 +23,7 @@ AFFINITY_CEILING = 1e7
 
 def strip(col: Column) -> Column:
     """Remove white space of any kind from both ends of the text form."""
-    return F.regexp_replace(col.cast("string"), r"^\s+|\s+$", "")
+    return F.btrim(col.cast("string"), F.lit(WHITE_SPACE))
 
 
 def is_binary_label(col: Column) -> Column:

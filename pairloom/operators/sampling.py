@@ -9,6 +9,7 @@ so the rows themselves are only ever filtered, never moved.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -18,7 +19,19 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 # Cuts come back to the driver as literals; this bounds how many.
 MAX_GROUPS = 1024
-PREFIX = 4
+# Bytes of input per histogram bucket to aim for, and the most digits to use.
+BUCKET_BYTES = 64 << 20
+MAX_PREFIX = 5
+
+
+def prefix_digits(df: DataFrame) -> int:
+    """Hex digits that keep one bucket to about ``BUCKET_BYTES`` of the table.
+
+    Spark's own size estimate is enough: a bad one changes the speed only.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    buckets = max(1, size // BUCKET_BYTES)
+    return min(MAX_PREFIX, max(2, math.ceil(math.log(buckets, 16))))
 
 
 @dataclass(frozen=True)
@@ -68,7 +81,7 @@ def hash_cuts(
     group_cols: Sequence[str] = (),
     where: Column | None = None,
     totals: Mapping[str, Column] | None = None,
-    prefix: int = PREFIX,
+    prefix: int | None = None,
 ) -> HashCuts:
     """Find the hash at which exactly ``rank`` rows of each group are inside.
 
@@ -78,6 +91,7 @@ def hash_cuts(
     still sums over every row.  Hashes must come from unique keys.
     """
     spark = df.sparkSession
+    prefix = prefix or prefix_digits(df)
     g = list(group_cols)
     candidate = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
     base = df.select(
@@ -175,8 +189,9 @@ def global_position(df: DataFrame, block: Column, order: Sequence[Column], name:
     )
 
 
-def shuffled_position(df: DataFrame, h: Column, name: str = "pos", prefix: int = PREFIX) -> DataFrame:
+def shuffled_position(df: DataFrame, h: Column, name: str = "pos", prefix: int | None = None) -> DataFrame:
     """Position of every row in the random permutation given by ``h``."""
+    prefix = prefix or prefix_digits(df)
     tagged = df.withColumn("_h", h)
     return global_position(tagged, F.substring("_h", 1, prefix), [F.col("_h")], name).drop("_h")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import hex_threshold, seeded_hash
 from pairloom.operators.sampling import HashCuts, hash_cuts, within
+from pairloom.session import materialize
 
 # Default ratios (the second for the plain classifier), default
 # balancing quota, strategy names and their aliases.
@@ -75,7 +76,9 @@ def split_rows(
 def entity_cuts(
     rel: DataFrame, entity: str, ratio: Sequence[float], seed: int | str | Column, group_cols: Sequence[str] = ()
 ) -> HashCuts:
-    entities = rel.select(*group_cols, entity).where(F.col(entity).isNotNull()).distinct()
+    """Cuts over the distinct entities, which are written once and then read twice."""
+    distinct = rel.select(*group_cols, entity).where(F.col(entity).isNotNull()).distinct()
+    entities = materialize(distinct, "entities")
     return hash_cuts(entities, seeded_hash(seed, entity), split_ranks(ratio), group_cols)
 
 

@@ -46,6 +46,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Use every core on a table that is stored in fewer pieces than there are.
+
+    A large table comes in many more pieces than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

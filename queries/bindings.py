@@ -6,11 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import row_key
+from pairloom.session import spread
 
 SEED = 42
 
 
+# The larger tables, with a key to spread them by where they are one small file.
+SPREAD = {"lineitem": "l_orderkey", "documents": "doc_id", "orders": "o_orderkey", "events": "event_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = scan(spark, sf_dir, name)
+    return spread(df, SPREAD[name]) if name in SPREAD else df
+
+
+def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -150,7 +150,7 @@ def name_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, lang, doc_id AS source_row FROM documents")
 def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.with_source_row(B.table(spark, sf_dir, "documents").select("doc_id", "lang"))
+    return readers.with_source_row(B.scan(spark, sf_dir, "documents").select("doc_id", "lang"))
 
 
 @query(f"WITH {LOG_SQL} SELECT run, auc, auprc FROM parsed")

@@ -9,6 +9,7 @@ from pairloom.functions import scalars as S
 from pairloom.functions.hashing import row_key
 from pairloom.operators import metrics, splits, summary, validate
 from pairloom.plans import scenarios
+from pairloom.session import materialize
 from pairloom.sources.readers import log_metrics
 from queries import query
 from queries import bindings as B
@@ -221,7 +222,7 @@ export AS (
 
 
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = validate.with_reason(B.triplets(spark, sf_dir))
+    checked = materialize(validate.with_reason(B.triplets(spark, sf_dir)), "checked-rows")
     good = validate.accepted(checked)
     split = splits.split_rows(good, row_key("source_row"), (0.5, 0.2, 0.3), B.SEED)
     p = S.sigmoid((F.lit(200) - F.length("sequence")) / 50.0)

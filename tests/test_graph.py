@@ -156,12 +156,20 @@ def test_similar_sets_equal_brute_force(spark, threshold):
     assert np.isclose(mean, total / len(texts) ** 2)
 
 
+def test_sets_of_any_items(spark):
+    df = spark.createDataFrame([(1, ["x", "y", "x"]), (2, ["y", "x"]), (3, ["x", "y", "z"])], "id long, bits array<string>")
+    found_sets = similarity.similar_sets(similarity.hashed_sets(df, "id", "bits"), "id", 0.5)
+    assert [tuple(r) for r in found_sets.edges.collect()] == [(1, 3, 2 / 3)]
+    assert {r["rep"]: r["n"] for r in found_sets.members.collect()} == {1: 2, 3: 1}
+
+
 def test_vocabulary(spark):
-    df = spark.createDataFrame([(0, "banana"), (1, ""), (2, "né")], "row long, t string")
+    df = spark.createDataFrame([(0, "banana"), (1, ""), (2, "né😀b")], "row long, t string")
     vocab = similarity.vocabulary(df, "t", "row")
-    assert [tuple(r) for r in vocab.orderBy("ix").collect()] == [("b", 1, 2), ("a", 3, 3), ("n", 3, 4), ("é", 1, 5)]
+    assert [tuple(r) for r in vocab.orderBy("ix").collect()] == [
+        ("b", 2, 2), ("a", 3, 3), ("n", 3, 4), ("é", 1, 5), ("😀", 1, 6)]
     codes = similarity.encode_tokens(df, "row", "t", vocab)
-    assert {r["row"]: r["codes"] for r in codes.collect()} == {0: "2 3 4 3 4 3", 1: "", 2: "4 5"}
+    assert {r["row"]: r["codes"] for r in codes.collect()} == {0: "2 3 4 3 4 3", 1: "", 2: "4 5 6 2"}
 
 
 def test_capped_lists(spark):
