@@ -65,6 +65,15 @@ def split_sql(name: str, source: str, key: str, seed: str = "'42:'", ratio: tupl
         FROM (SELECT DISTINCT {key} FROM {source})) CROSS JOIN {name}_n)"""
 
 
+def row_split_sql(name: str, source: str, ratio: tuple = (0.79, 0.01, 0.2)) -> str:
+    """CTE with the rows of ``source`` and their ``split``, drawn by row key."""
+    _, val, test = ratio
+    return f"""{name} AS (
+  SELECT * EXCLUDE (r, n, t), CASE WHEN r <= t THEN 'test' WHEN r <= t + ceil({val}::DOUBLE * (n - t)) THEN 'val' ELSE 'train' END AS split
+  FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || row_key)) AS r, count(*) OVER () AS n,
+          ceil({test}::DOUBLE * count(*) OVER ()) AS t FROM {source}))"""
+
+
 def balance_sql(name: str, source: str, ratio: int) -> str:
     """CTE with all positives and at most ``ratio`` negatives each, per split."""
     return f"""{name} AS (

@@ -82,8 +82,8 @@ def softmax_weighted_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.long_vectors(out, "emb", 5, "id")
 
 
-@query(f"""WITH {B.REL_SQL}, {B.EMB_SQL}, {B.split_sql('s', 'rel', 'row_key')}, n AS (SELECT count(*) AS n FROM emb),
-known AS (SELECT DISTINCT drug_id, prot_id FROM rel JOIN s USING (row_key) WHERE label = 1 AND split = 'train'),
+@query(f"""WITH {B.REL_SQL}, {B.EMB_SQL}, {B.row_split_sql('s', 'rel')}, n AS (SELECT count(*) AS n FROM emb),
+known AS (SELECT DISTINCT drug_id, prot_id FROM s WHERE label = 1 AND split = 'train'),
 x AS (SELECT drug_id, i, avg(emb[i]) AS x FROM known JOIN emb ON emb.id = prot_id % (SELECT n FROM n) CROSS JOIN range(1, {DIM + 1}) r(i) GROUP BY drug_id, i),
 q AS (SELECT drug_id, sum(x * x) AS q, max(x) FILTER (i = 1) AS x0 FROM x GROUP BY drug_id)
 SELECT p_partkey AS drug_id, round(coalesce(sqrt(q), 0), 5) AS norm, round(coalesce(x0, 0), 5) AS x0 FROM part LEFT JOIN q ON drug_id = p_partkey""")

@@ -178,10 +178,11 @@ def negatives_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {GRID_SQL}, n AS (SELECT (SELECT count(*) FROM part) AS m, (SELECT count(*) FROM supplier) AS n, (SELECT count(*) FROM links) AS k),
-draws AS (SELECT range AS j FROM range(0, (SELECT 4 * k + 1000 FROM n))),
+draws AS (SELECT range AS j FROM range(0, (SELECT 20 * k + 1000 FROM n))),
 cells AS (SELECT ('0x' || substr(md5('42:' || j), 1, 15))::BIGINT % (m * n) AS c, min(j) AS j, any_value(n) AS w FROM draws CROSS JOIN n GROUP BY 1),
 hits AS (SELECT drug_id, prot_id, row_number() OVER (ORDER BY j) AS r FROM cells JOIN free ON li = c // w AND ri = c % w)
-SELECT drug_id, prot_id FROM hits WHERE r <= (SELECT k FROM n)""")
+SELECT drug_id, prot_id FROM hits WHERE r <= (SELECT k FROM n) AND (SELECT k FROM n) < (SELECT count(*) FROM free)
+UNION ALL SELECT drug_id, prot_id FROM free WHERE (SELECT k FROM n) >= (SELECT count(*) FROM free)""")
 def negatives_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = B.drugs(spark, sf_dir), B.targets(spark, sf_dir)
     return pairs.sample_negatives(B.links(B.relation(spark, sf_dir)), left, right, seed=B.SEED)

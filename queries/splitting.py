@@ -24,12 +24,12 @@ def flagship_cold_drug_balanced_profile(spark: SparkSession, sf_dir: str) -> Dat
     return summary.profile(splits.balance(split, F.col("row_key"), 1, B.SEED))
 
 
-@query(f"WITH {B.REL_SQL}, {B.split_sql('s', 'rel', 'row_key')} SELECT row_key, split FROM s")
+@query(f"WITH {B.REL_SQL}, {B.row_split_sql('s', 'rel')} SELECT row_key, split FROM s")
 def split_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_rows(B.relation(spark, sf_dir), F.col("row_key"), seed=B.SEED).select("row_key", "split")
 
 
-@query(f"WITH {B.REL_SQL}, {B.split_sql('s', 'rel', 'row_key', ratio=(0.65, 0.15, 0.2))} SELECT row_key, split FROM s")
+@query(f"WITH {B.REL_SQL}, {B.row_split_sql('s', 'rel', (0.65, 0.15, 0.2))} SELECT row_key, split FROM s")
 def split_random_plain_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = B.relation(spark, sf_dir)
     return splits.split_rows(rel, F.col("row_key"), splits.RATIO_PLAIN, B.SEED).select("row_key", "split")
@@ -106,8 +106,8 @@ def _balanced(spark: SparkSession, sf_dir: str, ratio: int) -> DataFrame:
 
 
 def _balanced_sql(ratio: int) -> str:
-    return f"""WITH {B.RARE_SQL}, {B.split_sql('rs', 'rel', 'row_key')},
-s AS (SELECT rel.*, split FROM rel JOIN rs USING (row_key)), {B.balance_sql('b', 's', ratio)}
+    return f"""WITH {B.RARE_SQL}, {B.row_split_sql('s', 'rel')},
+{B.balance_sql('b', 's', ratio)}
 SELECT row_key, split, label FROM b"""
 
 

@@ -95,7 +95,7 @@ def test_result_does_not_depend_on_partitions(spark):
         rows = {(r["row_key"], r["split"]) for r in out.collect()}
         expected = expected or rows
         assert rows == expected
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_indicator_and_carving(spark):
