@@ -13,7 +13,7 @@ from pairloom.operators.sampling import global_position
 from pairloom.operators.skew import HOT_ROWS, hot_keys, salted_join
 
 # First occurrences are numbered block by block of this many row numbers.
-ROW_BLOCK = 1 << 16
+ROW_BLOCK = 1 << 20
 
 
 @dataclass(frozen=True)

@@ -21,7 +21,7 @@ from pairloom.session import materialize
 
 # Known pairs of one left entity are ordered in blocks of this many right indexes.
 RIGHT_BLOCK = 1 << 16
-DRAW_BLOCK = 1 << 16
+DRAW_BLOCK = 1 << 20
 
 
 def linked_entities(entities: DataFrame, links: DataFrame, ident: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions import scalars as S
@@ -159,7 +159,7 @@ parsed AS (SELECT run, CAST(regexp_extract_all(log, 'Test AUC:\\s*([0-9]*\\.?[0-
 
 
 def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def digits(key: str, factor: int) -> F.Column:
+    def digits(key: str, factor: int) -> Column:
         return F.lpad((F.col(key) * factor % 1000000).cast("string"), 6, "0")
 
     text = F.concat(
