@@ -9,12 +9,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import queries as named
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, TWINS = entry.queries(), entry.oracle_sql()
+named.load_all()
+QUERIES, TWINS = dict(named.QUERIES), dict(named.TWINS)
+assert QUERIES.keys() <= entry.queries().keys() and TWINS.keys() <= entry.oracle_sql().keys()
 ROWS_ONLY = {"split_cold_full_optimised", "featurize_hash", "mlp_scores", "parameter_search", "split_eval_run"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
