@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import exact_dedup, line_dedup, mixing, quality_rules
+from pairloom.llm import exact_dedup, line_dedup, mixing, packing, quality_rules, simhash, url_filter
 from pairloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
@@ -24,15 +28,28 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.digest(read_table(spark, sf_dir, "pages", "page_id", "url"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op4_mix_sources, op5_exact_dedup, op6_line_dedup, op9_quality_rules)
+    f.__name__: f
+    for f in (
+        op3_simhash_near_dedup, op4_mix_sources, op5_exact_dedup, op6_line_dedup, op7_best_fit_packing, op8_url_filter,
+        op9_quality_rules,
+    )
 }
 TWINS = {
     "op5_exact_dedup": exact_dedup.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op8_url_filter": url_filter.SQL,
     "op9_quality_rules": quality_rules.SQL,
 }
