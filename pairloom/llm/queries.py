@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import exact_dedup, line_dedup, mixing, packing, quality_rules, simhash, url_filter
+from pairloom.llm import (
+    classifier, exact_dedup, html_extract, line_dedup, mixing, packing, quality_rules, simhash, token_counts, url_filter,
+)
 from pairloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return classifier.digest(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -40,11 +51,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.digest(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op3_simhash_near_dedup, op4_mix_sources, op5_exact_dedup, op6_line_dedup, op7_best_fit_packing, op8_url_filter,
-        op9_quality_rules,
+        op1_token_counts, op2_quality_classifier, op3_simhash_near_dedup, op4_mix_sources, op5_exact_dedup, op6_line_dedup,
+        op7_best_fit_packing, op8_url_filter, op9_quality_rules, op10_html_extraction,
     )
 }
 TWINS = {
