@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import SPACE_CLASS, filled, no_space, words
+from pairloom.llm.common import SPACE_CLASS, filled, words
 
 # The symbols that the base counts and that the punctuation rule looks at.
 SYMBOLS = "#*$%&|<>"
@@ -34,6 +34,8 @@ BOILERPLATE = (
     r"|subscribe to (our|the) newsletter|sign up for|click here|powered by|back to top|follow us on|share this"
 )
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -51,23 +53,32 @@ class Rules:
 
 
 def count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.regexp_count(text, F.lit(f"[{chars}]"))
 
 
-def line_fails(line: Column, rules: Rules = Rules()) -> Column:
-    """Does one line fail the punctuation, navigation or boilerplate rule?"""
-    size = F.length(no_space(line))
+def line_measures(line: Column) -> Column:
+    """A line with what its rules look at."""
+    return F.struct(
+        line.alias("line"),
+        F.length(F.regexp_replace(line, SPACE_CLASS + "+", "")).alias("size"),
+        count_of(line, SYMBOLS).alias("symbols"),
+        count_of(line, MARKS).alias("marks"),
+        count_of(line, SEPARATORS).alias("separators"),
+    )
+
 
-    def heavy(chars: str, percent: int) -> Column:
-        n = count_of(line, chars)
-        return (n >= rules.min_line_marks) & (n * 100 > size * percent)
+def line_fails(m: Column, rules: Rules = Rules()) -> Column:
+    """Does a measured line fail the punctuation, navigation or boilerplate rule?  Lines without a word do not."""
 
-    short = F.length(line) <= rules.boilerplate_chars
-    return (
-        heavy(SYMBOLS, rules.max_symbol_percent)
-        | heavy(MARKS, rules.max_mark_percent)
-        | heavy(SEPARATORS, rules.max_separator_percent)
-        | (short & F.lower(line).rlike(NAVIGATION + "|" + BOILERPLATE))
+    def heavy(n: Column, percent: int) -> Column:
+        return (n >= rules.min_line_marks) & (n * 100 > m["size"] * percent)
+
+    short = F.length(m["line"]) <= rules.boilerplate_chars
+    return (m["size"] > 0) & (
+        heavy(m["symbols"], rules.max_symbol_percent)
+        | heavy(m["marks"], rules.max_mark_percent)
+        | heavy(m["separators"], rules.max_separator_percent)
+        | (short & F.lower(m["line"]).rlike(NAVIGATION + "|" + BOILERPLATE))
     )
 
 
@@ -75,45 +86,40 @@ def evaluate(docs: DataFrame, text_col: str = "text", into: str = "quality", rul
     """Add a struct of counts and verdicts, with the text that is left in ``clean_text``."""
     w = rules.window
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != into]).alias("d"), filled(docs[text_col]).alias("t"))
-    split = base.select("d", "t", words(F.col("t")).alias("w"), F.split("t", "\n").alias("lines"))
-    windows = F.when(
-        F.size("w") >= w,
-        F.transform(
-            F.sequence(F.lit(1), F.size("w") - (w - 1)),
-            lambda i: F.xxhash64(*[F.element_at("w", (i + k).cast("int")) for k in range(w)]),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    has_word = F.filter("lines", lambda line: F.length(no_space(line)) > 0)
-    sized = split.select(
-        "d", "lines",
-        F.size("w").alias("n_words"),
-        F.length(no_space(F.col("t"))).alias("word_chars"),
-        count_of(F.col("t"), SYMBOLS).alias("n_symbols"),
-        has_word.alias("full"),
-        windows.alias("windows"),
+    split = base.select(
+        "d", "t", words(F.col("t")).alias("w"), F.transform(F.split("t", "\n"), line_measures).alias("measured")
+    )
+    hashed = _with_window_hashes(split.withColumn("n_words", F.size("w")), "w", w)
+    # What a lambda needs of a line is in its struct: a column named inside it could be computed anew for every line.
+    judged = hashed.select(
+        "d", "t", "n_words", F.col("w").alias("windows"),
+        F.transform("measured", lambda m: F.struct(m["line"], m["size"], m["symbols"], line_fails(m, rules).alias("bad"))).alias("lines"),
     )
     # Only windows of documents that repeat one are sorted.
     repeated = F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.col("windows")).otherwise(F.array().cast("array<bigint>"))
-    placed = sized.select(
-        *[c for c in sized.columns if c != "windows"],
+    placed = judged.select(
+        "d", "t", "n_words", "lines",
+        F.transform(F.filter("lines", lambda m: m["size"] > 0), lambda m: m["line"]).alias("full"),
+        F.filter("lines", lambda m: ~m["bad"]).alias("left"),
         F.sort_array(F.transform(repeated, lambda h, i: F.struct(h.alias("h"), i.alias("i")))).alias("placed"),
     )
     at = placed.select(*[c for c in placed.columns if c != "placed"], _repeat_starts("placed").alias("starts"))
-    judged = at.select(
-        *[c for c in at.columns if c not in ("full", "starts")],
+    left = at.select(
+        "d", "n_words",
         (F.size("full") - F.size(F.array_distinct("full"))).alias("n_dup_lines"),
         _covered("starts", w).alias("n_repeat_words"),
-        F.transform("lines", lambda line: F.when(F.length(no_space(line)) > 0, line_fails(line, rules)).otherwise(False)).alias("bad"),
+        _total("lines", "size").alias("word_chars"),
+        _total("lines", "symbols").alias("n_symbols"),
+        _total("left", "size").alias("left_chars"),
+        (F.size("lines") - F.size("left")).alias("n_failed_lines"),
+        F.when(F.size("lines") == F.size("left"), F.col("t"))
+        .otherwise(F.array_join(F.transform("left", lambda m: m["line"]), "\n"))
+        .alias("clean_text"),
     )
-    kept_lines = F.filter("lines", lambda line, i: ~F.element_at("bad", i + 1))
-    cleaned = judged.select(*judged.columns, F.array_join(kept_lines, "\n").alias("clean_text"))
-    left = cleaned.select(*cleaned.columns, F.length(no_space(F.col("clean_text"))).alias("left_chars"))
     base_failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)
     lost_much = (F.col("word_chars") - F.col("left_chars")) * 100 > F.col("word_chars") * rules.max_lost_percent
     verdict = F.struct(
-        *[F.col(c).cast("bigint").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        F.size(F.filter("bad", lambda b: b)).cast("bigint").alias("n_failed_lines"),
-        F.col("left_chars").cast("bigint").alias("left_chars"),
+        *[F.col(c).cast("bigint").alias(c) for c in (*BASE, "n_failed_lines", "left_chars")],
         base_failed.alias("base_failed"),
         (~(base_failed | lost_much)).alias("kept"),
         "clean_text",
@@ -121,10 +127,27 @@ def evaluate(docs: DataFrame, text_col: str = "text", into: str = "quality", rul
     return left.select("d.*", verdict.alias(into))
 
 
-def _neighbours(name: str, merge) -> Column:
-    """``merge(a, b)`` over every two neighbours of an array."""
-    n = F.greatest(F.size(name) - 1, F.lit(0))
-    return F.zip_with(F.slice(name, F.lit(1), n), F.slice(name, F.lit(2), n), merge)
+def _neighbours(array: str | Column, merge, apart: int = 1) -> Column:
+    """``merge(a, b)`` over every two elements that stand ``apart`` in an array."""
+    n = F.greatest(F.size(array) - apart, F.lit(0))
+    return F.zip_with(F.slice(array, F.lit(1), n), F.slice(array, F.lit(1 + apart), n), merge)
+
+
+def _with_window_hashes(df: DataFrame, words_col: str, width: int) -> DataFrame:
+    """Replace a column of words by hashes of every window of ``width`` words, made of those of half the width.
+
+    Each doubling is a projection of its own, so that no array is computed twice.
+    """
+    if width & (width - 1):
+        raise ValueError("the window must be a power of two")
+    out, span = df.withColumn(words_col, F.transform(words_col, lambda x: F.xxhash64(x))), 1
+    while span < width:
+        out, span = out.withColumn(words_col, _neighbours(words_col, lambda a, b: F.xxhash64(a, b), span)), 2 * span
+    return out
+
+
+def _total(measures: str, field: str) -> Column:
+    return F.aggregate(measures, F.lit(0), lambda s, m: s + m[field])
 
 
 def _repeat_starts(placed: str) -> Column:
@@ -139,15 +162,21 @@ def _covered(starts: str, width: int) -> Column:
     return F.when(F.size(starts) > 0, F.aggregate(steps, F.lit(width), lambda s, x: s + x)).otherwise(0)
 
 
-def keep_clean(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """Documents that pass, without the lines that fail.  An unchanged text stays as it was."""
-    judged = evaluate(docs, text_col, "_quality", rules).where("_quality.kept")
-    return judged.withColumn(text_col, F.col("_quality.clean_text")).select(*docs.columns)
+def keep_clean(docs: DataFrame, text_col: str = "text", rules: Rules = Rules(), observed: str = "quality rules") -> DataFrame:
+    """Documents that pass, without the lines that fail.  An unchanged text stays as it was.
 
+    The run reports, under the name ``observed``, how many were judged and how many
+    pass.  What is observed also keeps the filter above the projections that it is
+    made of; below them each would be written out as often as the next one uses it.
+    """
+    judged = evaluate(docs, text_col, "_quality", rules)
+    own = [F.col("_quality.clean_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    marked = judged.select(F.struct(*own).alias("d"), F.col("_quality.kept").alias("kept"))
+    seen = marked.observe(observed, F.count("kept").alias("judged"), F.count_if("kept").alias("kept"))
+    return seen.where("kept").select("d.*")
 
-# --- the query and its twin -------------------------------------------------------------------------------------------
 
-BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+# --- the query and its twin -------------------------------------------------------------------------------------------
 
 
 def digest(docs: DataFrame) -> DataFrame:
