@@ -230,7 +230,7 @@ def _split(codes: DataFrame, distance: int, max_node: int) -> DataFrame:
         free = depth - width
         masks = [0, *(sum(1 << i for i in c) for k in range(1, distance + 1) for c in combinations(range(free), k))]
         at = leaves.where(F.col("depth") >= depth).select(
-            "r", "field", F.col("node").alias("from"), F.shiftrightunsigned("prefix", F.col("depth") - depth).alias("own")
+            "r", "field", F.col("node").alias("from"), F.call_function("shiftrightunsigned", "prefix", F.col("depth") - depth).alias("own")
         )
         patterns = at.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).select(
             "r", "field", "from", F.lit(depth).alias("depth"), F.col("own").bitwiseXOR(F.col("mask")).alias("prefix")
