@@ -39,6 +39,7 @@ FOLDS = 5  # the first is held out
 BINS = 4096
 CLIP = 6.0
 TIE_SHARE = 1e-3
+STATISTICS = 15
 # Classes of characters whose shares are looked at.
 CLASSES = (r"[#*$%&<>{}\[\]~^=_\\]", r"[!?]", r"[|»›•·→]", r"\p{Lu}", r"[0-9]", r"[.,;:]")
 
@@ -143,7 +144,7 @@ def pool(y: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def fit(rows: DataFrame, features: int = FEATURES, width: float = WIDTH, ridge: float = RIDGE, seed: int = SEED) -> Model:
     """Fit on rows ``x, y, fold``; ``y`` lies between 0 and 1, folds count from 1."""
-    dim = len((rows.select("x").first() or [[0.0]])[0])
+    dim = STATISTICS
     stats = rows.agg(
         *[F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(dim)], *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(dim)]
     ).first()

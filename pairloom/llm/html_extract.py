@@ -20,7 +20,8 @@ size on disk allows it, and otherwise joins by host, hot hosts split.
 Defined results: NULL and empty pages give an empty text.  A NULL URL, or one
 without a host, belongs to the host with the empty name.  Unclosed tags end with
 what holds them, stray end tags are ignored, an unclosed script or comment takes
-the rest of the page.  Repeated rows are extracted alike.
+the rest of the page.  Elements nested more than ``MAX_DEPTH`` deep are breaks in the
+last one above them; no text is lost.  Repeated rows are extracted alike.
 """
 
 from __future__ import annotations
@@ -77,6 +78,7 @@ OPEN, CLOSE, TEXT, BREAK = range(4)
 # A wrapper node: name, pages seen in, optional, repeated, slot (None while constant), its text's checksum, characters, characters in links, children.
 NAME, SEEN, OPTIONAL, REPEATED, VARIES, SUM, CHARS, LINKED, KIDS = range(9)
 KINDS = ("article", "main", "content", "text")
+MAX_DEPTH = 100
 
 
 @lru_cache(maxsize=20_000)
@@ -101,6 +103,7 @@ def role_of(tag: str, attributes: str) -> tuple[str, bool, str]:
 def events(page: str) -> Iterator[tuple[int, str, bool]]:
     """The token stream: opened and closed elements, text with whether it is in a link, and breaks."""
     stack: list[str] = []
+    beyond: dict[str, int] = {}  # open elements deeper than the limit; what they hold counts to the last one above it
     links = at = 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -113,6 +116,9 @@ def events(page: str) -> Iterator[tuple[int, str, bool]]:
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
+            elif beyond.get(tag):
+                beyond[tag] -= 1
+                yield BREAK, tag, False
             elif tag in stack:
                 while (last := stack.pop()) != tag:
                     yield CLOSE, last, False
@@ -132,6 +138,10 @@ def events(page: str) -> Iterator[tuple[int, str, bool]]:
             yield CLOSE, stack.pop(), False
         if attributes.endswith("/") and tag not in CLOSES_P:
             continue
+        if len(stack) >= MAX_DEPTH:
+            beyond[tag] = beyond.get(tag, 0) + 1
+            yield BREAK, tag, False
+            continue
         stack.append(tag)
         yield OPEN, f"{tag} {attributes}" if attributes else tag, False
     if at < len(page):
