@@ -1,77 +1,78 @@
 """Exact random order, bottom-k samples and global positions without a global sort.
 
 The random order of a table is the order of a keyed hash of its row key.  A
-sample of exactly ``k`` rows is every row at or below the hash of the ``k``-th
-one.  That hash is found from a histogram over the first hex digits (at most
-``16**prefix`` rows per group) and a ranking of the single bucket it falls in,
-so the rows themselves are only ever filtered, never moved.
+sample of exactly ``k`` rows is every row below the hash of the ``k``-th one, and
+as many of the rows with just that hash as are still missing.  The hash is found
+digit by digit: a histogram over the leading hex digits, then one over further
+digits of the single bucket each cut falls in, until that bucket is small enough
+to be ranked.  The rows themselves are only ever filtered, never moved.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-# Cuts come back to the driver as literals; this bounds how many.
-MAX_GROUPS = 1024
-# Bytes of input per histogram bucket to aim for, and the most digits to use.
-BUCKET_BYTES = 64 << 20
-MAX_PREFIX = 5
+from pairloom.session import materialize
 
-
-def prefix_digits(df: DataFrame) -> int:
-    """Hex digits that keep one bucket to about ``BUCKET_BYTES`` of the table.
-
-    Spark's own size estimate is enough: a bad one changes the speed only.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(1, size // BUCKET_BYTES)
-    return min(MAX_PREFIX, max(2, math.ceil(math.log(buckets, 16))))
+# Hex digits that each step of the search adds, and rows that one task may rank.
+STEP_DIGITS = 3
+RANKED_ROWS = 1 << 20
+HASH_DIGITS = 44
+# Leading hex digits that make the blocks of a global position.
+BLOCK_DIGITS = 4
 
 
 @dataclass(frozen=True)
 class HashCuts:
     """The last hash that is still inside, per group and name.
 
-    ``rows`` holds one entry per group: the group's values, then ``{name: hash}``.
-    A missing name means that nothing of the group is inside.
+    ``table`` has a row per group: its values, then ``_cut_<name>`` and how many of
+    the rows with that very hash are inside, ``_take_<name>``.  A missing group or
+    NULL means that nothing is inside.  ``tied`` tells whether a cut falls among
+    rows of equal hash.
     """
 
-    spark: SparkSession
-    group_fields: tuple[StructField, ...]
+    groups: tuple[str, ...]
     names: tuple[str, ...]
-    rows: tuple[tuple[tuple, dict[str, str]], ...]
+    table: DataFrame
+    tied: bool
+    candidate: Column
 
-    def attach(self, df: DataFrame) -> DataFrame:
-        """Add one column ``_cut_<name>`` per name.
+    def attach(self, df: DataFrame, h: Column) -> DataFrame:
+        """Add the cuts of a row's group, and its place among its equals where a cut falls among them.
 
-        Ungrouped cuts are literals.  Grouped cuts are joined from a table that
-        was collected under the ``MAX_GROUPS`` check, hence the broadcast.
+        Without groups the cuts are literals.  Otherwise their table is joined; its
+        size decides how.
         """
-        if not self.group_fields:
-            named = self.rows[0][1] if self.rows else {}
-            return df.withColumns(
-                {f"_cut_{n}": F.lit(named.get(n)).cast("string") for n in self.names}
-            )
-        groups = [StructField(f"_g_{f.name}", f.dataType) for f in self.group_fields]
-        hashes = [StructField(f"_cut_{n}", StringType()) for n in self.names]
-        data = [(*group, *[named.get(n) for n in self.names]) for group, named in self.rows]
-        table = self.spark.createDataFrame(data, StructType([*groups, *hashes]))
-        same = [F.col(f.name).eqNullSafe(F.col(f"_g_{f.name}")) for f in self.group_fields]
-        return df.join(F.broadcast(table), same, "left").drop(*[f.name for f in groups])
+        own = [f"_{kind}_{n}" for n in self.names for kind in ("cut", "take")]
+        if not self.groups:
+            only = self.table.first()
+            out = df.withColumns({c: F.lit(only[c]).cast(self.table.schema[c].dataType) for c in own})
+        else:
+            named = self.table.select(*[F.col(g).alias(f"_g_{g}") for g in self.groups], *own)
+            same = reduce(lambda x, y: x & y, [df[g].eqNullSafe(named[f"_g_{g}"]) for g in self.groups])
+            out = df.join(named, same, "left").drop(*[f"_g_{g}" for g in self.groups])
+        if not self.tied:
+            return out.withColumn("_tie", F.lit(1))
+        marked = out.withColumn("_at", F.coalesce(self.candidate & reduce(or_, [h == F.col(f"_cut_{n}") for n in self.names]), F.lit(False)))
+        order = Window.partitionBy(*self.groups, h).orderBy(F.xxhash64(*df.columns))
+        edge = marked.where("_at").withColumn("_tie", F.row_number().over(order))
+        return marked.where("NOT _at").withColumn("_tie", F.lit(1)).unionByName(edge).drop("_at")
 
     def drop(self, df: DataFrame) -> DataFrame:
-        return df.drop(*[f"_cut_{n}" for n in self.names])
+        return df.drop("_tie", *[f"_{kind}_{n}" for n in self.names for kind in ("cut", "take")])
 
 
 def within(name: str, h: Column) -> Column:
     """Is a hash inside the attached cut?"""
-    return F.coalesce(h <= F.col(f"_cut_{name}"), F.lit(False))
+    cut = F.col(f"_cut_{name}")
+    return F.coalesce((h < cut) | ((h == cut) & (F.col("_tie") <= F.col(f"_take_{name}"))), F.lit(False))
 
 
 def hash_cuts(
@@ -81,17 +82,14 @@ def hash_cuts(
     group_cols: Sequence[str] = (),
     where: Column | None = None,
     totals: Mapping[str, Column] | None = None,
-    prefix: int | None = None,
 ) -> HashCuts:
     """Find the hash at which exactly ``rank`` rows of each group are inside.
 
     ``ranks`` are expressions over ``total`` (candidate rows in the group) and
     the per-group sums named in ``totals``.  A rank beyond the group takes all
     of it, a rank of zero none.  ``where`` limits the candidates; ``totals``
-    still sums over every row.  Hashes must come from unique keys.
+    still sums over every row.  Keys may repeat, and groups be as many as rows.
     """
-    spark = df.sparkSession
-    prefix = prefix or prefix_digits(df)
     g = list(group_cols)
     candidate = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
     base = df.select(
@@ -100,63 +98,70 @@ def hash_cuts(
         candidate.alias("_in"),
         *[c.alias(f"_t_{n}") for n, c in (totals or {}).items()],
     )
-    digits = F.substring("_h", 1, prefix).alias("_p")
-    histogram = base.groupBy(*g, digits).agg(
+    digits = STEP_DIGITS
+    histogram = base.groupBy(*g, F.substring("_h", 1, digits).alias("_p")).agg(
         F.count_if("_in").alias("_n"),
         *[F.sum(f"_t_{n}").alias(n) for n in (totals or {})],
     )
     whole = Window.partitionBy(*g)
-    running = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    cumulated = histogram.select(
-        *g,
-        "_p",
-        "_n",
-        F.sum("_n").over(running).alias("_cum"),
-        F.sum("_n").over(whole).alias("total"),
-        *[F.sum(n).over(whole).alias(n) for n in (totals or {})],
+    counted = histogram.select(
+        *g, "_p", "_n", F.sum("_n").over(whole).alias("total"), *[F.sum(n).over(whole).alias(n) for n in (totals or {})]
     )
     wanted = F.explode(F.array(*[
         F.struct(F.lit(name).alias("name"), F.least(rank.cast("bigint"), F.col("total")).alias("rank"))
         for name, rank in ranks.items()
     ]))
-    before = F.col("_cum") - F.col("_n")
-    edge = (
-        cumulated.select(*g, "_p", "_n", "_cum", wanted.alias("_c"))
-        .where((F.col("_c.rank") > before) & (F.col("_c.rank") <= F.col("_cum")))
-        .select(*g, "_p", F.col("_c.name").alias("_name"), (F.col("_c.rank") - before).alias("_need"))
+    named = counted.select(*g, "_p", "_n", wanted.alias("_c")).select(
+        *g, "_p", "_n", F.col("_c.name").alias("_name"), F.col("_c.rank").alias("_need")
+    )
+    edges = materialize(_edges(named, [*g, "_name"]), "cut-buckets")
+    while digits < HASH_DIGITS and (edges.agg(F.max("_n")).first()[0] or 0) > RANKED_ROWS:
+        finer = _inside(base, edges, g, digits).groupBy(*g, "_name", "_need", F.substring("_h", 1, digits + STEP_DIGITS).alias("_p"))
+        digits += STEP_DIGITS
+        edges = materialize(_edges(finer.agg(F.count("*").alias("_n")), [*g, "_name"]), "cut-buckets")
+
+    order = Window.partitionBy(*g, "_name").orderBy("_h")
+    ranked = _inside(base, edges, g, digits).select(
+        *g, "_name", "_h", "_need",
+        F.row_number().over(order).alias("_rn"),
+        F.rank().over(order).alias("_first"),
+        F.count("*").over(Window.partitionBy(*g, "_name", "_h")).alias("_equal"),
     )
-    limit = MAX_GROUPS * len(ranks)
-    edges = edge.limit(limit + 1).collect()
-    if len(edges) > limit:
-        raise ValueError(f"more than {MAX_GROUPS} groups; use bottom_k_per_key")
-    group_fields = tuple(base.schema[c] for c in g)
-    if not edges:
-        return HashCuts(spark, group_fields, tuple(ranks), ())
-
-    # Rank only the rows of the bucket each cut falls in.
-    named_edges = StructType([StructField(f"_e{f.name}", f.dataType) for f in edge.schema])
-    edge_table = F.broadcast(spark.createDataFrame(edges, named_edges))
-    same = [F.col(c).eqNullSafe(F.col(f"_e{c}")) for c in [*g, "_p"]]
-    order = Window.partitionBy(*g, "_e_name").orderBy("_h")
-    last = (
-        base.where("_in")
-        .select(*g, digits, "_h")
-        .join(edge_table, same)
-        .withColumn("_rn", F.row_number().over(order))
-        .where(F.col("_rn") == F.col("_e_need"))
-        .select(*g, F.col("_e_name").alias("_name"), "_h")
-        .collect()
+    last = ranked.where("_rn = _need").withColumn("_take", F.col("_rn") - F.col("_first") + 1)
+    of = {n: F.col("_name") == n for n in ranks}
+    table = last.groupBy(*g).agg(
+        *[F.max(F.when(is_it, F.col("_h"))).alias(f"_cut_{n}") for n, is_it in of.items()],
+        *[F.max(F.when(is_it, F.col("_take"))).alias(f"_take_{n}") for n, is_it in of.items()],
+        F.max(F.col("_take") < F.col("_equal")).alias("_tied"),
     )
-    found: dict[tuple, dict[str, str]] = {}
-    for row in last:
-        found.setdefault(tuple(row[c] for c in g), {})[row["_name"]] = row["_h"]
-    return HashCuts(spark, group_fields, tuple(ranks), tuple(found.items()))
+    table = materialize(table, "cuts")
+    tied = bool(table.agg(F.max("_tied")).first()[0])
+    return HashCuts(tuple(g), tuple(ranks), table, tied, candidate)
+
+
+def _edges(buckets: DataFrame, keys: list[str]) -> DataFrame:
+    """The bucket each cut falls in, with the rows it still needs of it."""
+    running = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.col("_cum") - F.col("_n")
+    return (
+        buckets.withColumn("_cum", F.sum("_n").over(running))
+        .where((F.col("_need") > before) & (F.col("_need") <= F.col("_cum")))
+        .select(*keys, "_p", "_n", (F.col("_need") - before).alias("_need"))
+    )
+
+
+def _inside(base: DataFrame, edges: DataFrame, g: list[str], digits: int) -> DataFrame:
+    """Candidate rows of the buckets that cuts fall in, once per cut."""
+    rows = base.where("_in").select(*g, "_h", F.substring("_h", 1, digits).alias("_p"))
+    named = edges.select(*[F.col(c).alias(f"_e_{c}") for c in [*g, "_p"]], "_name", "_need")
+    same = reduce(lambda x, y: x & y, [rows[c].eqNullSafe(named[f"_e_{c}"]) for c in [*g, "_p"]])
+    return rows.join(named, same).select(*g, "_h", "_name", "_need")
 
 
 def sample_exact(df: DataFrame, k: int, h: Column, group_cols: Sequence[str] = ()) -> DataFrame:
     """``k`` rows per group without replacement (all of a smaller group)."""
     cuts = hash_cuts(df, h, {"k": F.lit(k)}, group_cols)
-    return cuts.drop(cuts.attach(df).where(within("k", h)))
+    return cuts.drop(cuts.attach(df, h).where(within("k", h)))
 
 
 def bottom_k_per_key(df: DataFrame, key_cols: Sequence[str], k: int, order: Sequence[Column]) -> DataFrame:
@@ -189,11 +194,10 @@ def global_position(df: DataFrame, block: Column, order: Sequence[Column], name:
     )
 
 
-def shuffled_position(df: DataFrame, h: Column, name: str = "pos", prefix: int | None = None) -> DataFrame:
+def shuffled_position(df: DataFrame, h: Column, name: str = "pos", digits: int = BLOCK_DIGITS) -> DataFrame:
     """Position of every row in the random permutation given by ``h``."""
-    prefix = prefix or prefix_digits(df)
     tagged = df.withColumn("_h", h)
-    return global_position(tagged, F.substring("_h", 1, prefix), [F.col("_h")], name).drop("_h")
+    return global_position(tagged, F.substring("_h", 1, digits), [F.col("_h")], name).drop("_h")
 
 
 def batches(df: DataFrame, pos: Column, size: int, drop_last: bool = False, total: Column | None = None) -> DataFrame:

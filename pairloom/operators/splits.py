@@ -4,7 +4,8 @@ Sizes follow the remainder rule: ``n_test = ceil(r_test * n)``, then
 ``n_val = ceil(r_val * (n - n_test))``, and the rest trains.
 
 A hash cut is a literal, so every split that depends on hashes alone is a
-map-side expression on the relation: no join and no shuffle of the rows.
+map-side expression on the relation: no join and no shuffle of the rows.  Only
+rows that share the very hash of a cut are told apart by a further order.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def split_label(h: Column) -> Column:
 
 
 def _label_by(df: DataFrame, cuts: HashCuts, h: Column, name: str = "split") -> DataFrame:
-    return cuts.drop(cuts.attach(df).withColumn("_h", h).withColumn(name, split_label(F.col("_h")))).drop("_h")
+    return cuts.drop(cuts.attach(df, h).withColumn(name, split_label(h)))
 
 
 def split_rows(
@@ -96,7 +97,7 @@ def split_cold(
     return _label_by(rel, entity_cuts(rel, entity, ratio, seed, group_cols), seeded_hash(seed, entity))
 
 
-def right_seed(seed: int) -> str:
+def right_seed(seed: int | str) -> str:
     """Seed of the right side, so equal ids on both sides are independent."""
     return f"{seed}:right"
 
@@ -176,7 +177,7 @@ def balance(
         where=negative,
         totals={"positives": positive.cast("bigint")},
     )
-    return cuts.drop(cuts.attach(used).where(positive | (negative & within("neg", h))))
+    return cuts.drop(cuts.attach(used, h).where(positive | (negative & within("neg", h))))
 
 
 def split_relation(
@@ -189,7 +190,7 @@ def split_relation(
     seed: int = 42,
     balanced: bool = True,
     unbalanced_ratio: int | None = UNBALANCED_RATIO,
-    attempts: int = 2,
+    attempts: int = 6,
 ) -> DataFrame:
     """Split by any strategy, then balance each split."""
     strategy = strategy_name(strategy)

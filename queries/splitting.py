@@ -60,7 +60,7 @@ def split_cold_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def split_cold_full_optimised(spark: SparkSession, sf_dir: str) -> DataFrame:
     rel = B.relation(spark, sf_dir)
-    split = coldfull.optimise_cold_both(rel, ratio=FULL_RATIO, seed=B.SEED, attempts=1, rounds=2)
+    split = coldfull.optimise_cold_both(rel, ratio=FULL_RATIO, seed=B.SEED)
     return summary.profile(split)
 
 

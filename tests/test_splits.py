@@ -113,7 +113,7 @@ def test_sample_positions_and_batches(spark):
     sample = sampling.sample_exact(df, 20, h, ["g"])
     naive = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy(h))).where("rn <= 20")
     assert {r["id"] for r in sample.collect()} == {r["id"] for r in naive.collect()}
-    pos = {r["id"]: r["pos"] for r in sampling.shuffled_position(df, h, prefix=1).collect()}
+    pos = {r["id"]: r["pos"] for r in sampling.shuffled_position(df, h, digits=1).collect()}
     order = sorted(range(1000), key=lambda i: md5(5, i))
     assert pos == {i: n for n, i in enumerate(order)}
     b = sampling.batches(df, F.col("id"), 300, drop_last=True, total=F.lit(1000))
@@ -122,9 +122,35 @@ def test_sample_positions_and_batches(spark):
         sampling.batches(df, F.col("id"), 300, drop_last=True)
 
 
-def test_too_many_groups_is_an_error(spark):
-    with pytest.raises(ValueError, match="groups"):
-        sampling.sample_exact(spark.range(sampling.MAX_GROUPS + 1), 1, seeded_hash(1, "id"), ["id"])
+def test_sample_of_very_many_groups(spark):
+    df = spark.range(200_000).select((F.col("id") % 100_000).alias("g"), "id")
+    sample = sampling.sample_exact(df, 1, seeded_hash(1, "id"), ["g"])
+    assert sample.count() == sample.select("g").distinct().count() == 100_000
+
+
+@pytest.mark.parametrize("grouped", [False, True])
+def test_sizes_are_exact_with_repeated_keys(spark, grouped):
+    df = spark.range(1000).select((F.col("id") % 10).alias("key"), "id", (F.col("id") % 2).alias("g"))
+    df = df.union(df.limit(0)).withColumn("row_key", F.col("key").cast("string"))
+    out = splits.split_rows(df, F.col("row_key"), (0.5, 0.2, 0.3), 42, ["g"] if grouped else [])
+    sizes = {(r["g"] if grouped else 0, r["split"]): r["count"] for r in out.groupBy(*(["g"] if grouped else []), "split").count().collect()}
+    expected = {"test": 300, "val": 140, "train": 560}
+    assert sizes == ({(g, s): n // 2 for g in (0, 1) for s, n in expected.items()} if grouped else {(0, s): n for s, n in expected.items()})
+    assert out.select("id").distinct().count() == 1000
+
+
+def test_balance_is_exact_with_repeated_keys(spark):
+    df = spark.range(300).select(F.lit("same").alias("row_key"), (F.col("id") < 40).cast("int").alias("label"), F.lit("train").alias("split"), "id")
+    out = splits.balance(df, F.col("row_key"), 2, 42)
+    assert {r["label"]: r["count"] for r in out.groupBy("label").count().collect()} == {1: 40, 0: 80}
+
+
+def test_cuts_search_deeper_where_a_bucket_is_large(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "RANKED_ROWS", 3)
+    df = spark.range(500).withColumn("h", F.concat(F.lit("abcdef"), F.md5(F.col("id").cast("string"))))
+    order = sorted((r["h"], r["id"]) for r in df.collect())
+    kept = sampling.sample_exact(df, 123, F.col("h"))
+    assert {r["id"] for r in kept.collect()} == {i for _, i in order[:123]}
 
 
 def test_cold_both_error_on_empty_split(spark):
@@ -147,8 +173,8 @@ def test_optimised_cold_both(spark, seed):
 
 def test_swap_moves_equally_many_with_the_best_gain(spark):
     rows = [("a", "train", 0, 9, 0), ("b", "train", 0, 5, 0), ("c", "train", 3, 0, 0), ("x", "val", 4, 1, 0), ("y", "val", 0, 2, 0), ("z", "test", 0, 0, 1)]
-    counts = spark.createDataFrame(rows, "e string, s string, n_train long, n_val long, n_test long")
-    out, changed = coldfull.improve_side(counts, "e", 1)
+    counts = spark.createDataFrame([("1", *r) for r in rows], "seed string, e string, s string, n_train long, n_val long, n_test long")
+    out, changed = coldfull.improve_side(counts, "e")
     got = {r["e"]: r["s"] for r in out.collect()}
     assert changed and got == {"a": "val", "b": "train", "c": "train", "x": "train", "y": "val", "z": "test"}
 
