@@ -10,11 +10,6 @@ def as_double(v: Column) -> Column:
     return v.cast("array<double>")
 
 
-def dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(as_double(a), as_double(b), lambda x, y: x * y)
-    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-
-
 def l2_norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(as_double(v), F.lit(0.0), lambda acc, x: acc + x * x))
 
@@ -30,10 +25,6 @@ def l2_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
 
 
-def concat_vectors(a: Column, b: Column) -> Column:
-    return F.concat(a, b)
-
-
 def residual(x: Column, origin: Column, alpha: float = 10.0) -> Column:
     """``x + alpha * origin``, element by element."""
     return F.zip_with(as_double(x), as_double(origin), lambda a, b: a + F.lit(float(alpha)) * b)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import hash_int, seeded_hash
@@ -22,6 +22,8 @@ from pairloom.session import materialize
 # Known pairs of one left entity are ordered in blocks of this many right indexes.
 RIGHT_BLOCK = 1 << 16
 DRAW_BLOCK = 1 << 20
+# A draw is 60 bits of hash; with this many cells or fewer all are equally likely to one part in 16.
+MAX_CELLS = 1 << 56
 
 
 def linked_entities(entities: DataFrame, links: DataFrame, ident: str) -> DataFrame:
@@ -73,14 +75,15 @@ def dense_index(entities: DataFrame, ident: str, name: str, seed: int | str) ->
 
 def grid(links: DataFrame, left: DataFrame, right: DataFrame,
          left_id: str = "drug_id", right_id: str = "prot_id", seed: int = 42) -> Grid:
-    left_ix = dense_index(left, left_id, "left_ix", seed)
-    right_ix = dense_index(right, right_id, "right_ix", f"{seed}:right")
+    """Each index is written once; counting, drawing and naming read it."""
+    left_ix = materialize(dense_index(left, left_id, "left_ix", seed), "left-index")
+    right_ix = materialize(dense_index(right, right_id, "right_ix", f"{seed}:right"), "right-index")
     known = (
         links.select(left_id, right_id).distinct()
         .join(left_ix, left_id).join(right_ix, right_id)
         .select("left_ix", "right_ix")
     )
-    return Grid(left_ix, right_ix, known, left_ix.count(), right_ix.count())
+    return Grid(left_ix, right_ix, materialize(known, "known-cells"), left_ix.count(), right_ix.count())
 
 
 def free_runs(cells: Grid, block: int = RIGHT_BLOCK) -> DataFrame:
@@ -112,9 +115,10 @@ def free_runs(cells: Grid, block: int = RIGHT_BLOCK) -> DataFrame:
     )
 
 
-def expand_runs(runs: DataFrame) -> DataFrame:
-    """Every free cell, one row each.  The result is as large as the complement."""
-    return runs.select("left_ix", F.explode(F.sequence("lo", "hi")).alias("right_ix"))
+def expand_runs(runs: DataFrame, chunk: int = RIGHT_BLOCK) -> DataFrame:
+    """Every free cell, one row each, a bounded stretch of a run at a time.  The result is as large as the complement."""
+    stretches = runs.withColumn("lo", F.explode(F.sequence("lo", "hi", F.lit(chunk).cast("bigint"))))
+    return stretches.select("left_ix", F.explode(F.sequence("lo", F.least("hi", F.col("lo") + (chunk - 1)))).alias("right_ix"))
 
 
 def draws_needed(k: int, free: int, cells: int) -> int:
@@ -123,47 +127,61 @@ def draws_needed(k: int, free: int, cells: int) -> int:
     return int(expected + 8 * math.sqrt(expected) + 64)
 
 
-def sample_negatives(links: DataFrame, left: DataFrame, right: DataFrame, k: int | None = None,
-                     left_id: str = "drug_id", right_id: str = "prot_id", seed: int = 42) -> DataFrame:
-    """``k`` free cells, uniform without replacement; by default as many as links.
+def negatives(links: DataFrame, left: DataFrame, right: DataFrame, k: int | None,
+              left_id: str = "drug_id", right_id: str = "prot_id", seed: int = 42) -> DataFrame:
+    """``k`` free cells, uniform without replacement; all of them for ``None`` or more than there are.
 
     Cells are drawn by hash until ``k`` distinct free ones are found, so the work
-    grows with ``k`` and not with the number of cells.  The result is the first
-    ``k`` distinct free cells in order of drawing, whatever number was drawn.
+    grows with ``k`` and not with the number of cells.  A sample of more than half
+    of the free cells is as large as they are: then they are written out and the
+    first ``k`` in hash order stay.
     """
     spark = links.sparkSession
     cells = grid(links, left, right, left_id, right_id, seed)
-    known = materialize(cells.known, "known-cells")
-    n_known = known.count()
-    free = cells.n_left * cells.n_right - n_known
-    k = n_known if k is None else k
-    if k >= free:
+    all_cells = cells.n_left * cells.n_right
+    if all_cells >= MAX_CELLS:
+        raise ValueError(f"{all_cells} cells: more than the hash of a draw can tell apart")
+    free = all_cells - cells.known.count()
+    if k is None or 2 * k > free:
         found = expand_runs(free_runs(cells))
+        if k is not None and k < free:
+            found = sample_exact(materialize(found, "free-cells"), k, seeded_hash(seed, F.concat_ws(":", "left_ix", "right_ix")))
     else:
-        n_draws = draws_needed(k, free, cells.n_left * cells.n_right)
+        n_draws = draws_needed(k, free, all_cells)
         while True:
-            found = materialize(_draw(spark, n_draws, cells, known, seed), "drawn-cells")
+            found = materialize(_draw(spark, n_draws, cells, seed), "drawn-cells")
             if found.count() >= k:
                 break
-            n_draws *= 2
+            n_draws += draws_needed(k - found.count(), free, all_cells)
         found = global_position(found, F.floor(F.col("draw") / DRAW_BLOCK), [F.col("draw")])
         found = found.where(F.col("pos") < k)
     return found.join(cells.left, "left_ix").join(cells.right, "right_ix").select(left_id, right_id)
 
 
-def _draw(spark: SparkSession, n_draws: int, cells: Grid, known: DataFrame, seed: int) -> DataFrame:
+def sample_negatives(links: DataFrame, left: DataFrame, right: DataFrame, k: int | None = None,
+                     left_id: str = "drug_id", right_id: str = "prot_id", seed: int = 42) -> DataFrame:
+    """``k`` free cells; by default as many as there are links between the entities."""
+    if k is None:
+        k = positives(links, left, right, left_id, right_id).count()
+    return negatives(links, left, right, k, left_id, right_id, seed)
+
+
+def cell_index(cell: Column, n_right: int) -> tuple[Column, Column]:
+    """Left and right index of a cell number, in integers throughout."""
+    right_ix = F.pmod(cell, F.lit(n_right).cast("bigint"))
+    return F.call_function("div", cell, F.lit(n_right).cast("bigint")), right_ix
+
+
+def _draw(spark: SparkSession, n_draws: int, cells: Grid, seed: int) -> DataFrame:
     """Distinct free cells among the draws, with the first draw that hit each."""
     cell = hash_int(seeded_hash(seed, F.col("id"))) % F.lit(cells.n_left * cells.n_right)
+    left_ix, right_ix = cell_index(F.col("cell"), cells.n_right)
     return (
         spark.range(n_draws)
         .select(F.col("id").alias("draw"), cell.alias("cell"))
         .groupBy("cell").agg(F.min("draw").alias("draw"))
-        .select(
-            F.floor(F.col("cell") / cells.n_right).alias("left_ix"),
-            (F.col("cell") % cells.n_right).alias("right_ix"),
-            "draw",
-        )
-        .join(known, ["left_ix", "right_ix"], "left_anti")
+        .select(left_ix.alias("left_ix"), right_ix.alias("right_ix"), "draw")
+        .join(cells.known, ["left_ix", "right_ix"], "left_anti")
     )
 
 

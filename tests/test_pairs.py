@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.operators import pairs
+from pairloom.operators import linksplit, pairs
 from pairloom.operators.skew import hot_keys, salted_join
 
 
@@ -63,11 +63,46 @@ def test_from_links_gives_negatives_to_an_entity_without_positives(spark):
     genes = spark.createDataFrame([("long", "A" * 701), ("t", "A"), ("u", "A")], "prot_id string, seq string")
     links = spark.createDataFrame([("d1", "long"), ("d2", "t"), ("d4", "u")], "drug_id string, prot_id string")
     for n in (None, 12):
-        data = from_links(drugs, genes, links, n)
-        rows = {(r["drug_id"], r["prot_id"], r["label"]) for r in data.relation.collect()}
+        cells = from_links(drugs, genes, links).split("random", balanced=False, unbalanced_ratio=n)
+        rows = {(r["drug_id"], r["prot_id"], r["label"]) for r in cells.collect()}
         assert rows == {("d2", "t", 1), ("d2", "u", 0), ("d1", "t", 0), ("d1", "u", 0)}
 
 
+@pytest.mark.parametrize("strategy", ["random", "cold_drug", "cold_target", "cold_full"])
+@pytest.mark.parametrize("per_positive", [1, 20, None])
+def test_split_links_draws_from_each_splits_own_cells(spark, strategy, per_positive):
+    links, link_df, left, right = setup(spark, m=30, n=20, density=0.05)
+    rows = linksplit.split_links(link_df, left, right, strategy, per_positive, (0.5, 0.2, 0.3)).collect()
+    cells = [(r["drug_id"], r["prot_id"]) for r in rows]
+    assert len(cells) == len(set(cells))
+    assert all(((r["drug_id"], r["prot_id"]) in links) == (r["label"] == 1) for r in rows)
+    sides = {"cold_drug": ["drug_id"], "cold_target": ["prot_id"], "cold_full": ["drug_id", "prot_id"], "random": []}[strategy]
+    for side in sides:
+        assert len({(r[side], r["split"]) for r in rows}) == len({r[side] for r in rows})
+    if strategy != "cold_full":
+        assert sum(r["label"] for r in rows) == len(links)
+    if not per_positive and strategy != "cold_full":
+        assert len(rows) == 600
+    free = 600 - len(links)
+    for split in ("train", "val", "test"):
+        n_pos = sum(r["label"] for r in rows if r["split"] == split)
+        n_neg = sum(1 - r["label"] for r in rows if r["split"] == split)
+        if per_positive == 1:
+            assert n_neg == n_pos
+        if per_positive == 20 and strategy != "random":
+            assert n_neg <= 20 * n_pos
+    if per_positive == 20 and strategy == "random":
+        assert sum(1 - r["label"] for r in rows) == min(free, 20 * len(links))
+
+
+def test_cell_numbers_stay_integers(spark):
+    n_right = 100_000_007
+    cells = [2**57 + 12_345, 2**59 - 1, n_right * 1_441_151_879 - 1, 2**53 + 1]
+    df = spark.createDataFrame([(c,) for c in cells], "cell long")
+    got = df.select(*pairs.cell_index(F.col("cell"), n_right)).collect()
+    assert [tuple(r) for r in got] == [divmod(c, n_right) for c in cells]
+
+
 def test_unmapped(spark):
     rel = spark.createDataFrame([(1, 1), (2, 1), (2, 2)], "drug_id int, prot_id int")
     known = spark.createDataFrame([(1,)], "drug_id int")
