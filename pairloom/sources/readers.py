@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pairloom.functions import scalars as S
 from pairloom.operators.validate import TRIPLET, positional_columns, resolve_columns
@@ -34,14 +35,19 @@ def with_source_row(df: DataFrame, name: str = "source_row") -> DataFrame:
     """Number the rows of a file scan from 0, in file order.
 
     Rows are numbered inside their file block and shifted by the rows of the
-    blocks before it (path order, then offset).  The tagged rows are written
-    once, so both steps see the same blocks even if the scan would be cut
-    differently a second time.
+    blocks before it (file order, then offset).  Files are in order of the numbers
+    in their names, so that ``part-100000`` follows ``part-99999``.  The tagged rows
+    are written once, so both steps see the same blocks even if the scan would be
+    cut differently a second time.  The table of blocks has a row per block; it is
+    joined to the rows without moving them where its size allows that.
     """
+    path = F.col("_metadata.file_path")
+    # Every run of digits with its length in front sorts as the number it is.
+    padded = F.regexp_replace(path, r"(\d+)", "0000000000000000000$1")
     tagged = materialize(
         df.select(
             "*",
-            F.col("_metadata.file_path").alias("_path"),
+            F.regexp_replace(padded, r"0*(\d{20})(?!\d)", "$1").alias("_path"),
             F.col("_metadata.file_block_start").alias("_start"),
             F.monotonically_increasing_id().alias("_id"),
         ),
@@ -51,7 +57,7 @@ def with_source_row(df: DataFrame, name: str = "source_row") -> DataFrame:
     before = Window.orderBy("_path", "_start").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("_path", "_start", "_min", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     return (
-        tagged.join(offsets, ["_path", "_start"])
+        tagged.join(materialize(offsets, "block-offsets"), ["_path", "_start"])
         .withColumn(name, F.col("_id") - F.col("_min") + F.col("_o"))
         .drop("_path", "_start", "_id", "_min", "_o")
     )
@@ -61,15 +67,33 @@ def with_source_row(df: DataFrame, name: str = "source_row") -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = "|", has_header: bool = True,
-             multi_line: bool = False) -> DataFrame:
-    raw = spark.read.csv(
-        path, sep=delimiter, header=has_header, quote='"', escape='"', multiLine=multi_line, inferSchema=False
-    )
+             multi_line: bool | None = None) -> DataFrame:
+    """Delimited text.  A record with more fields than the first one is an error; a shorter one ends in NULLs.
+
+    Files are split among tasks unless a quote is open at the end of some line: then
+    records may span lines, and each file is one task.
+    """
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "multiLine": multi_line}
+    titles = spark.read.csv(path, header=has_header, inferSchema=False, **options).columns
+    fields = [StructField(c, StringType()) for c in [*titles, "_more"]]
+    # A field beyond the last makes a record too long; without one the record is short by that field.
+    raw = spark.read.schema(StructType(fields)).csv(path, header=has_header, enforceSchema=True, **options)
+    too_long = F.raise_error(F.concat(F.lit(f"more than {len(titles)} fields in a record of {path}: "), F.coalesce(*titles, F.lit(""))))
+    raw = raw.where(F.when(F.col("_more").isNotNull(), too_long.cast("boolean")).otherwise(True)).drop("_more")
     return resolve_columns(raw) if has_header else positional_columns(raw)
 
 
-def read_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A JSON array of records, or one record per line with ``multi_line=False``."""
+def read_json(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """An array of records, or one record per line: the first character that is not blank tells which.
+
+    An array is one task per file; records by line are split among tasks.
+    """
+    if multi_line is None:
+        first = spark.read.text(path).select(F.ltrim("value").alias("v")).where("v <> ''").first()
+        multi_line = first is None or first["v"].startswith("[") or first["v"].rstrip() == "{"
     return resolve_columns(spark.read.option("primitivesAsString", True).json(path, multiLine=multi_line))
 
 
@@ -110,11 +134,16 @@ def affinity_columns(lines: DataFrame, header: str, positions: dict[str, int] |
 
 
 def read_affinity(spark: SparkSession, path: str, positions: dict[str, int] | None = None,
-                  number_rows: bool = False) -> DataFrame:
+                  number_rows: bool = False, header_path: str | None = None) -> DataFrame:
+    """A wide file whose first line is its header, or whose header is a file of its own.
+
+    Lines equal to the header are dropped wherever they are, so parts that each
+    begin with it read as one table.
+    """
     lines = spark.read.text(path)
-    header = lines.first()
+    header = (spark.read.text(header_path) if header_path else lines).first()
     if header is None:
-        raise ValueError(f"no header line in {path}")
+        raise ValueError(f"no header line in {header_path or path}")
     return affinity_columns(with_source_row(lines) if number_rows else lines, header["value"], positions)
 
 
@@ -124,7 +153,7 @@ def sdf_tag(record: Column, tag: str) -> Column:
 
 def read_sdf(spark: SparkSession, path: str, min_len: int = S.MIN_STRUCTURE) -> DataFrame:
     """``drug_id, smiles`` from the data tags of a structure file."""
-    records = spark.read.option("lineSep", "$$$$\n").text(path)
+    records = spark.read.option("lineSep", "$$$$").text(path)
     tags = records.select(
         sdf_tag(F.col("value"), "DATABASE_ID").alias("drug_id"), sdf_tag(F.col("value"), "SMILES").alias("smiles")
     )

@@ -89,6 +89,24 @@ def write_similarity(edges: DataFrame, path: str) -> str:
     return path
 
 
+def write_run_logs(spark: SparkSession, logs: DataFrame, root: str) -> str:
+    """``<dataset>/<scenario_key>/<run_tag>.log`` for each row, with its ``log``.
+
+    Spark writes the logs; the driver gives each its name, one step per run.
+    """
+    keys = ["dataset", "scenario_key", "run_tag"]
+    raw = f"{root.rstrip('/')}-parts"
+    logs.select(*keys, "log").repartition(*keys).write.partitionBy(*keys).text(raw)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(raw).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in files.globStatus(hadoop.Path(f"{raw}/*=*/*=*/*=*/part-*")):
+        dataset, scenario, tag = [x.split("=", 1)[1] for x in part.getPath().getParent().toString().split("/")[-3:]]
+        files.mkdirs(hadoop.Path(f"{root}/{dataset}/{scenario}"))
+        files.rename(part.getPath(), hadoop.Path(f"{root}/{dataset}/{scenario}/{tag}.log"))
+    files.delete(hadoop.Path(raw), True)
+    return root
+
+
 def write_model(spark: SparkSession, model: PipelineModel, path: str, metadata: dict[str, str]) -> str:
     """Fitted pipeline beside a one-row table of metadata."""
     model.write().overwrite().save(f"{path}/model")

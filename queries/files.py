@@ -53,10 +53,21 @@ def triplets_csv_headless(spark: SparkSession, sf_dir: str) -> DataFrame:
 def triplets_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "triplets") + ".json"
     _ordered(_flat(spark, sf_dir), "doc_id").write.json(path)
-    read = readers.read_triplets(spark, path, multi_line=False)
+    read = readers.read_triplets(spark, path)
     return read.select("source_row", "smiles", "sequence", "activation")
 
 
+@query("SELECT source || ':' || lang || ':' || doc_id AS smiles, text AS sequence, CAST(n_chars % 2 AS VARCHAR) AS activation FROM documents")
+def triplets_csv_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as they are, with line breaks inside quotes."""
+    path = scratch_path(spark, "triplets") + ".csv"
+    rows = B.table(spark, sf_dir, "documents").select(
+        F.concat_ws(":", "source", "lang", "doc_id").alias("smiles"), F.col("text").alias("sequence"), (F.col("n_chars") % 2).alias("activation")
+    )
+    sinks.write_delimited(rows, path, "|")
+    return readers.read_triplets(spark, path, number_rows=False).select("smiles", "sequence", "activation")
+
+
 @query(f"WITH {FLAT_SQL} SELECT doc_id AS source_row, smiles, sequence, activation FROM flat")
 def triplets_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "triplets") + ".parquet"
@@ -82,14 +93,11 @@ def affinity_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     fields = [values.get(i, F.lit("x")) for i in range(43)]
     rows = F.concat(F.concat_ws("\t", *fields), F.when(F.col("l_linenumber") == 7, "\textra").otherwise(""))
-    header = "\t".join(f"h{i}" for i in range(43))
-    path = scratch_path(spark, "affinity")
-    # The text writer has no header of its own: the header starts the first file.
-    titled = line.select(rows.alias("value"), F.lit(1).alias("o")).unionByName(
-        spark.createDataFrame([(header, 0)], "value string, o int")
-    )
-    titled.orderBy("o").select("value").write.text(path)
-    read = readers.affinity_columns(spark.read.text(path), header)
+    header = spark.createDataFrame([("\t".join(f"h{i}" for i in range(43)),)], "value string")
+    path, header_path = scratch_path(spark, "affinity"), scratch_path(spark, "affinity-header")
+    header.write.text(header_path)
+    line.select(rows.alias("value")).write.text(path)
+    read = readers.read_affinity(spark, path, header_path=header_path)
     return read.select(
         F.col("compound_id").cast("bigint").alias("compound"), "smiles", "target_id", "Kd", "EC50"
     )
@@ -154,15 +162,38 @@ def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {LOG_SQL} SELECT run, auc, auprc FROM parsed")
-def run_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logs written with partition folders and parsed back by path."""
+def run_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run logs as records of a table, parsed."""
     path = scratch_path(spark, "logs")
-    logs = run_logs(spark, sf_dir).withColumn("scenario", F.col("run") % 7)
-    logs.select("scenario", "run", "log").write.json(path)
-    read = spark.read.schema("scenario long, run long, log string").json(path)
+    run_logs(spark, sf_dir).select("run", "log").write.json(path)
+    read = spark.read.schema("run long, log string").json(path)
     return readers.log_metrics(read, "log").select("run", "auc", "auprc")
 
 
+@query("""WITH l AS (SELECT o_custkey % 30 AS g, o_orderkey, lpad(CAST(o_orderkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS a,
+  lpad(CAST(o_custkey * 104729 % 1000000 AS VARCHAR), 6, '0') AS p FROM orders),
+last AS (SELECT g, arg_max(a, o_orderkey) AS a, arg_max(p, o_orderkey) AS p FROM l GROUP BY g)
+SELECT 'd' || g % 2 AS dataset, 's' || g % 3 AS scenario_key, 'run_' || g % 10 AS run_tag,
+  CASE WHEN g % 7 <> 0 THEN CAST('0.' || a AS DOUBLE) END AS auc, CASE WHEN g % 7 <> 0 THEN CAST('0.' || p AS DOUBLE) END AS auprc FROM last""")
+def run_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log file per run in ``<dataset>/<scenario>`` folders, found and read by path."""
+    root, key = scratch_path(spark, "log-files"), F.col("o_orderkey")
+    orders = B.table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 30).alias("g"), "o_orderkey",
+        F.concat(
+            F.lit("Test AUC: 0."), F.lpad((key * 7919 % 1000000).cast("string"), 6, "0"),
+            F.lit("\nTest AUPRC: 0."), F.lpad((F.col("o_custkey") * 104729 % 1000000).cast("string"), 6, "0"),
+        ).alias("epoch"),
+    )
+    logs = orders.groupBy("g").agg(F.concat_ws("\n", F.min_by("epoch", key), F.max_by("epoch", key)).alias("log"))
+    named = logs.select(
+        *[F.concat(F.lit(name), F.col("g") % n).alias(c) for name, n, c in (("d", 2, "dataset"), ("s", 3, "scenario_key"), ("run_", 10, "run_tag"))],
+        F.when(F.col("g") % 7 == 0, "stopped early").otherwise(F.col("log")).alias("log"),
+    )
+    sinks.write_run_logs(spark, named, root)
+    return readers.log_metrics(readers.read_run_logs(spark, root), "log").drop("log")
+
+
 @query(f"WITH {EXPORT_SQL} SELECT split, excluded_reason, count(*) AS rows, count(predicted_label) AS predicted FROM export GROUP BY split, excluded_reason")
 def export_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sinks.write_export(export(spark, sf_dir), scratch_path(spark, "export"), json=True)
