@@ -30,4 +30,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from queries import files, graphs, models, records, scoring, splitting  # noqa: F401
+    from queries import files, graphs, models, records, runs, scoring, splitting  # noqa: F401
