@@ -6,7 +6,7 @@ aggregate of Spark ML, which combines on the map side.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,9 +20,12 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from pairloom.functions.vectors import as_double
 from pairloom.operators.sampling import bottom_k_per_key
 from pairloom.operators.skew import HOT_ROWS, hot_keys, salted_join
+from pairloom.session import materialize
 
-# Vectors compared at once are bounded by two chunks of this size.
-CHUNK = 1024
+# Vectors compared in one task are bounded by two chunks of so many bytes, and
+# distances held at a time by so many cells.
+CHUNK_BYTES = 32 << 20
+CELLS = 1 << 22
 
 
 def vector_sum(v: Column) -> Column:
@@ -71,17 +74,21 @@ def eps_edges(
     ident: str = "id",
     vec: str = "emb",
     inclusive: bool = False,
-    chunk: int = CHUNK,
+    chunk: int | None = None,
 ) -> DataFrame:
     """Pairs ``src < dst`` of vectors closer than ``tau``, with their distance.
 
     With ``group_cols`` (such as a batch number) only vectors of one group are
     compared, otherwise those in adjacent grid cells.  A group or cell of any
-    size is compared in chunks, so a task holds at most about two chunks of
-    vectors, and only the edges leave it.
+    size is compared in chunks of ``chunk`` vectors, by default as many as fit
+    ``CHUNK_BYTES``, so a task holds at most about two chunks, and only the edges
+    leave it.  Within a task :func:`near_pairs` leaves out what a pivot rules out.
     """
     g = list(group_cols)
     base = emb.select(*g, F.col(ident).alias("_id"), as_double(F.col(vec)).alias("_v"))
+    if chunk is None:
+        first = base.select(F.size("_v").alias("n")).first()
+        chunk = max(1, CHUNK_BYTES // (8 * max(1, first["n"] if first else 1)))
     if g:
         placed = base.withColumns({"_cx": F.lit(0), "_cy": F.lit(0), "_home": F.lit(True)})
     else:
@@ -124,31 +131,58 @@ def eps_edges(
         if build.empty or probe.empty:
             return pd.DataFrame({f.name: [] for f in fields})
         x, y = np.stack(build["_v"].to_numpy()), np.stack(probe["_v"].to_numpy())
-        rough = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
-        # The product form loses digits near zero: keep a margin, then measure.
-        margin = 1e-9 * (1.0 + np.abs(x).max() ** 2 * x.shape[1])
-        bi, pi = np.nonzero(rough <= tau * tau + margin)
-        a, b = build["_id"].to_numpy()[bi], probe["_id"].to_numpy()[pi]
-        at_home = probe["_home"].to_numpy()[pi]
-        dist = np.sqrt(((x[bi] - y[pi]) ** 2).sum(1))
-        near = dist <= tau if inclusive else dist < tau
-        keep = near & np.where(at_home, a < b, a != b)
-        a, b, dist = a[keep], b[keep], dist[keep]
-        out = {c: np.full(len(a), pdf[c].iloc[0]) for c in g}
-        swap = a > b
-        return pd.DataFrame({**out, "src": np.where(swap, b, a), "dst": np.where(swap, a, b), "dist": dist})
+        found = []
+        for bi, pi, dist in near_pairs(x, y, tau, inclusive):
+            a, b = build["_id"].to_numpy()[bi], probe["_id"].to_numpy()[pi]
+            keep = np.where(probe["_home"].to_numpy()[pi], a < b, a != b)
+            a, b, dist = a[keep], b[keep], dist[keep]
+            swap = a > b
+            out = {c: np.full(len(a), pdf[c].iloc[0]) for c in g}
+            found.append(pd.DataFrame({**out, "src": np.where(swap, b, a), "dst": np.where(swap, a, b), "dist": dist}))
+        return pd.concat(found) if found else pd.DataFrame({f.name: [] for f in fields})
 
     return spread.groupBy(*cell, "_b", "_p").applyInPandas(compare, schema)
 
 
+def near_pairs(x: np.ndarray, y: np.ndarray, tau: float, inclusive: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in ``x`` and ``y`` of vectors within ``tau``, and their distances, a bounded block at a time.
+
+    Distances to a pivot differ by no more than the distance itself.  With both
+    sides in order of theirs, a block of one side meets only the stretch of the
+    other that its own, widened by ``tau``, leaves over.  The pivot is the vector of
+    ``x`` farthest from their mean, which spreads the others most.
+    """
+    pivot = x[np.argmax(((x - x.mean(0)) ** 2).sum(1))]
+    dx, dy = (np.sqrt(((v - pivot) ** 2).sum(1)) for v in (x, y))
+    ox, oy = np.argsort(dx, kind="stable"), np.argsort(dy, kind="stable")
+    dx, dy = dx[ox], dy[oy]
+    slack = tau * (1 + 1e-9) + 1e-9 * (1.0 + (dx[-1] if len(dx) else 0.0))
+    # The product form loses digits near zero: keep a margin, then measure.
+    margin = 1e-9 * (1.0 + max(np.abs(x).max(), np.abs(y).max()) ** 2 * x.shape[1])
+    step = max(1, min(512, CELLS // max(1, len(y))))
+    for first in range(0, len(x), step):
+        block = ox[first : first + step]
+        low, high = np.searchsorted(dy, dx[first] - slack), np.searchsorted(dy, dx[min(first + step, len(x)) - 1] + slack, "right")
+        other = oy[low:high]
+        if not len(other):
+            continue
+        u, v = x[block], y[other]
+        rough = (u * u).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2.0 * (u @ v.T)
+        i, j = np.nonzero(rough <= tau * tau + margin)
+        i, j = block[i], other[j]
+        dist = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
+        near = dist <= tau if inclusive else dist < tau
+        yield i[near], j[near], dist[near]
+
+
 # --- edge lists ------------------------------------------------------------
 
 
 def symmetric(edges: DataFrame, attrs: Sequence[str] = (), group_cols: Sequence[str] = ()) -> DataFrame:
     """Both directions of every edge, once each."""
-    cols = [*group_cols, "src", "dst", *attrs]
-    swapped = edges.select(*group_cols, F.col("dst").alias("src"), F.col("src").alias("dst"), *attrs)
-    return edges.select(*cols).unionByName(swapped).dropDuplicates([*group_cols, "src", "dst"])
+    there, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = edges.withColumn("_way", F.explode(F.array(there, back)))
+    return both.select(*group_cols, "_way.src", "_way.dst", *attrs).dropDuplicates([*group_cols, "src", "dst"])
 
 
 def remove_self_loops(edges: DataFrame) -> DataFrame:
@@ -191,14 +225,18 @@ def with_isolated(edges: DataFrame, nodes: DataFrame, weight: str, ident: str =
 
 
 def normalised_sum(edges: DataFrame, emb: DataFrame, rounds: int = 1, ident: str = "id", vec: str = "emb") -> DataFrame:
-    """``rounds`` of neighbour sums weighted by 1/sqrt(deg * deg), self included."""
-    full = add_self_loops(symmetric(edges), emb, ident)
+    """``rounds`` of neighbour sums weighted by 1/sqrt(deg * deg), self included.
+
+    The edges are written once: degrees and every round read them.
+    """
+    full = materialize(add_self_loops(symmetric(edges), emb, ident), "edges")
     degree = full.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("deg"))
     weighted = (
         full.join(degree.select(F.col("node").alias("src"), F.col("deg").alias("_ds")), "src")
         .join(degree.select(F.col("node").alias("dst"), F.col("deg").alias("_dd")), "dst")
         .select("src", "dst", (1 / F.sqrt(F.col("_ds") * F.col("_dd"))).alias("w"))
     )
+    weighted = materialize(weighted, "edge-weights")
     current = emb.select(ident, vec)
     for _ in range(rounds):
         current = weighted_sum(weighted, current, "w", ident, vec)
@@ -219,8 +257,10 @@ def softmax_weights(edges: DataFrame, score: str) -> DataFrame:
     """Weight of each edge among those into the same destination.
 
     Maximum and sum are aggregates that combine early, joined back by
-    destination, so a hub does not pass through one task's window.
+    destination, so a hub does not pass through one task's window.  The edges are
+    written once and read three times.
     """
+    edges = materialize(edges, "edges")
     top = edges.groupBy("dst").agg(F.max(score).alias("_top"))
     raised = edges.join(top, "dst").withColumn("_e", F.exp(F.col(score) - F.col("_top")))
     total = raised.groupBy("dst").agg(F.sum("_e").alias("_sum"))

@@ -55,7 +55,8 @@ def split_ranks(ratio: Sequence[float]) -> dict[str, Column]:
 
 
 def split_label(h: Column) -> Column:
-    return F.when(within("test", h), "test").when(within("val", h), "val").otherwise("train")
+    """``unused`` where there is no hash, as for a missing entity."""
+    return F.when(h.isNull(), "unused").when(within("test", h), "test").when(within("val", h), "val").otherwise("train")
 
 
 def _label_by(df: DataFrame, cuts: HashCuts, h: Column, name: str = "split") -> DataFrame:

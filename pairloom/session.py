@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,10 @@ TUNING = {
 }
 
 
+# Intermediate tables of this driver that are still there.
+_WRITTEN: list[str] = []
+
+
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in TUNING.items():
         spark.conf.set(key, value)
@@ -28,14 +33,15 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a temporary folder: on
-    a cluster a machine-local folder would be lost with its machine.
+    Only a session whose executors are threads of the driver gets a temporary
+    folder without that setting: anywhere else a machine-local folder would be out
+    of reach for others and lost with its machine.
     """
-    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not context.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     local = tempfile.mkdtemp(prefix="pairloom-")
     spark.conf.set("spark.checkpoint.dir", local)
@@ -43,7 +49,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession, keep: Sequence[str] = ()) -> None:
+    """Delete the intermediate tables written so far, once no result still reads them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in [p for p in _WRITTEN if p not in keep]:
+        folder = hadoop.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _WRITTEN.remove(path)
 
 
 def spread(df: DataFrame, *key: str) -> DataFrame:

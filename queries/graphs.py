@@ -45,6 +45,15 @@ def topk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.topk(edges, 5, [F.col("dist"), F.col("dst")]).withColumn("dist", F.round("dist", 5))
 
 
+@query(f"""WITH {B.EMB_SQL}, near AS (SELECT a.id AS src, b.id AS dst, array_distance(a.emb, b.emb) AS dist
+  FROM emb a JOIN emb b ON a.id <> b.id WHERE array_distance(a.emb, b.emb) < 1.15)
+SELECT src, dst, round(dist, 5) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rn FROM near) WHERE rn <= 5""")
+def topk_neighbours_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours over the whole table."""
+    edges = graph.symmetric(graph.eps_edges(B.embeddings(spark, sf_dir), 1.15), ["dist"])
+    return graph.topk(edges, 5, [F.col("dist"), F.col("dst")]).withColumn("dist", F.round("dist", 5))
+
+
 @query(f"""WITH {_edges_sql(1.2)} SELECT emb.id, count(src) AS degree FROM emb LEFT JOIN both_ways ON src = emb.id GROUP BY emb.id""")
 def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(batch_edges(spark, sf_dir, 1.2), B.embeddings(spark, sf_dir))

@@ -131,11 +131,11 @@ BATCH_SQL = f"""{B.REL_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY md5('42
 b AS (SELECT *, pos // 128 AS batch_id FROM p WHERE pos // 128 < (SELECT count(*) // 128 FROM rel))"""
 
 
-def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _batches(spark: SparkSession, sf_dir: str, drop_last: bool = True) -> DataFrame:
     rel = B.relation(spark, sf_dir)
     total = F.lit(rel.count())
     ordered = sampling.shuffled_position(rel, seeded_hash(B.SEED, "row_key"))
-    return sampling.batches(ordered, F.col("pos"), 128, drop_last=True, total=total)
+    return sampling.batches(ordered, F.col("pos"), 128, drop_last, total)
 
 
 @query(f"WITH {BATCH_SQL} SELECT row_key, pos, batch_id FROM b")
@@ -143,10 +143,14 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _batches(spark, sf_dir).select("row_key", "pos", "batch_id")
 
 
-@query(f"""WITH {BATCH_SQL}, f AS (SELECT batch_id, drug_id, min(pos) AS p FROM b GROUP BY batch_id, drug_id)
+ALL_BATCHES_SQL = f"""{B.REL_SQL}, p AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || row_key)) - 1 AS pos FROM rel),
+b AS (SELECT *, pos // 128 AS batch_id FROM p)"""
+
+
+@query(f"""WITH {ALL_BATCHES_SQL}, f AS (SELECT batch_id, drug_id, min(pos) AS p FROM b GROUP BY batch_id, drug_id)
 SELECT batch_id, drug_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY p) - 1 AS INTEGER) AS code FROM f""")
 def group_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.group_dictionary(_batches(spark, sf_dir), "batch_id", "drug_id", "pos")
+    return summary.group_dictionary(_batches(spark, sf_dir, drop_last=False), "batch_id", "drug_id", "pos")
 
 
 @query(f"""WITH {B.RECORDS_SQL}, {B.split_sql('s', 'records', 'source_row')},

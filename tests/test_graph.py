@@ -179,3 +179,34 @@ def test_capped_lists(spark):
     assert {r["g"]: r["tokens"] for r in out.collect()} == {0: [3, 103, 2, 102, 1, 101], 1: [4, 104, 3, 103, 2, 102]}
     bounded = graph.capped_neighbour_lists(links, tokens, "g", "d", 3, -F.col("d"), min_len=6)
     assert bounded.count() == 0
+
+
+def test_near_pairs_prune_by_pivot(spark):
+    """Exact, and comparisons per vector fall far below all of them where groups lie apart."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 20, (40, 8))
+    x = np.concatenate([c + rng.normal(0, 0.2, (50, 8)) for c in centres])
+    got = {(int(a), int(b)) for i, j, _ in graph.near_pairs(x, x, 1.0) for a, b in zip(i, j)}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(d < 1.0))}
+    pivot = x[np.argmax(((x - x.mean(0)) ** 2).sum(1))]
+    at = np.sort(np.sqrt(((x - pivot) ** 2).sum(1)))
+    per_vector = np.mean(np.searchsorted(at, at + 1.0) - np.searchsorted(at, at - 1.0))
+    assert per_vector < len(x) / 4
+
+
+def test_one_item_in_every_set(spark):
+    from pairloom.operators import similarity
+
+    rows = [(i, ["everywhere", *[f"i{(i // 2 * 7 + j) % 900}" for j in range(9)], *([f"own{i}"] if i % 2 else [])]) for i in range(300)]
+    sets = similarity.hashed_sets(spark.createDataFrame(rows, "id long, items array<string>"), "id", "items")
+    monkey, similarity.POSTINGS = similarity.POSTINGS, 16
+    try:
+        got = {(r["a"], r["b"]) for r in similarity.similar_sets(sets, "id", 0.8).edges.collect()}
+    finally:
+        similarity.POSTINGS = monkey
+    plain = [(i, frozenset(s)) for i, s in rows]
+    expected = {(i, j) for i, a in plain for j, b in plain if i < j and len(a & b) / len(a | b) >= 0.8}
+    assert got == expected and len(expected) >= 150
