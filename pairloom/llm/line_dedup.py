@@ -5,9 +5,11 @@ hash; the lines over the threshold are joined back, and texts are reassembled by
 position without them.  Only hashes and positions are shuffled until the texts
 meet the list of positions to drop.
 
-A line that a third of all documents hold becomes one row per task before it is
-shuffled for counting.  The join back has that line's rows on one side and a
-single row on the other, which adaptive execution splits.
+Documents of a line are made distinct by line and document, then counted, combined
+on the map side, so a line that a third of all documents hold is spread over all
+tasks.  The join back has that line's rows on one side and a single row of a
+written table on the other: Spark broadcasts that table where its size allows it,
+and adaptive execution splits the hot line otherwise.
 
 Defined results: NULL and empty texts are one empty line.  A row whose id is
 NULL is counted as no document and never owns a line.  Rows that repeat an id
@@ -42,11 +44,10 @@ def drop_common_lines(
     trimmed = exploded.select("id", "k", "pos", F.trim("line", F.lit(SPACE)).alias("key")).where(F.length("key") >= min_chars)
     h1, h2 = key_pair(ascii_lower(F.col("key")))
     lines = trimmed.select("id", "k", "pos", h1.alias("h1"), h2.alias("h2"))
-    # Rows bound documents from above; the exact count is made of the few lines that reach the threshold.
-    common = lines.groupBy("h1", "h2").agg(F.count("id").alias("n"), F.max("id").alias("owner")).where(F.col("n") >= min_docs)
-    hits = materialize(lines.join(common.drop("n"), ["h1", "h2"]), "common-lines")
-    shared = hits.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n")).where(F.col("n") >= min_docs).drop("n")
-    gone = hits.where(~F.col("id").eqNullSafe(F.col("owner"))).join(shared, ["h1", "h2"], "left_semi")
+    # Distinct documents are counted per line and document first, so a hot line is no hot task.
+    common = lines.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("owner"))
+    common = materialize(common.where(F.col("n") >= min_docs).drop("n"), "common-lines")
+    gone = lines.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("owner")))
     drops = gone.groupBy(F.col("id").alias("i2"), F.col("k").alias("k2")).agg(F.sort_array(F.collect_set("pos")).alias("drop"))
     met = rows.join(drops, rows["id"].eqNullSafe(drops["i2"]) & (rows["k"] == drops["k2"]), "left")
     split = met.select("d", "t", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"), F.split("t", "\n").alias("lines"))
