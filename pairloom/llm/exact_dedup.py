@@ -92,7 +92,8 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = materialize(rows.join(names, "key"), "identities")
     best = F.min(F.struct((-F.col("key.n")).alias("n"), F.col("key.id").isNull().alias("no_id"), F.col("key.id").alias("id")))
     groups = known.groupBy("level", "name").agg(best.alias("best"), F.sum("rows").alias("group_size"))
-    met = known.join(groups, ["level", "name"])
+    # Written first: a join of two plain tables can split a group that a third of all rows belong to.
+    met = known.join(materialize(groups, "groups"), ["level", "name"])
     copies = met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     first = (F.col("copy") == 1) & F.col("key.id").eqNullSafe(F.col("best.id")) & (F.col("key.n") == -F.col("best.n"))
     return copies.select(
