@@ -57,7 +57,7 @@ CLOSES_P = frozenset(
 SIBLINGS = {t: frozenset(g.split()) for g in ("li", "dt dd", "tr", "td th", "option", "thead tbody tfoot") for t in g.split()}
 DROPPED_TAGS = frozenset("head title nav footer aside form button dialog menu fieldset".split())
 DROPPED_NAMES = frozenset(
-    "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies"
+    "ad ads advert alert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies"
     " complementary contentinfo disclaimer disqus footer gdpr hidden login menu modal nav navbar navigation newsletter"
     " notice notification pager pagination popup promo promoted promotion reactions recommended related replies reply"
     " search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
@@ -279,7 +279,7 @@ def extract(page: str, article: dict[str, str]) -> str:
             continue
         if what == TEXT:
             if kind := article.get(stack[-1]):
-                parts.setdefault(kind, []).append(value)
+                parts.setdefault(kind, []).append(html.unescape(value))
             continue
         if what == OPEN:
             tag, _, attributes = value.partition(" ")
@@ -293,7 +293,7 @@ def extract(page: str, article: dict[str, str]) -> str:
         for texts in parts.values():
             texts.append("\n")
     for kind in KINDS:
-        if kind in parts and (text := " ".join(html.unescape("".join(parts[kind])).split())):
+        if kind in parts and (text := " ".join("".join(parts[kind]).split())):
             return text
     return ""
 
