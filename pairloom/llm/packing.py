@@ -19,11 +19,14 @@ rows are packed one by one.  The numbers of sequences are dense from 0.
 from __future__ import annotations
 
 import math
+import re
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -38,43 +41,96 @@ CAPACITY = 2048
 SEPARATOR = 0
 CACHE_WORDS = 400_000
 CACHED_BYTES = 64
+STRETCH = 4 << 20
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
 
-class WordIds:
-    """Ids of a text, as unsigned 32-bit little-endian bytes, from the ids of its words.
+# Marks that end a word without being a part of it, and the first
+# letter beyond the alphabets whose words are encoded without the whole pipeline.
+END_MARKS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+BEYOND = "\u0530"
+SIGMA = "\u03a3"  # its lower case depends on where it stands
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
 
-    The tokenizer of this file drops white space before it merges, so a text's ids
-    are those of its words in a row.  Words come back often; their ids are kept, up
-    to a fixed number of short words, after which the table starts anew.
+
+def byte_letters() -> str:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in printable else next(rest)) for b in range(256))
+
+
+class WordIds(dict):
+    """Ids of words, as unsigned 32-bit little-endian bytes, and by them those of texts.
+
+    The tokenizer of this file lower-cases and drops white space before it merges,
+    so a text's ids are those of its words in a row.  Words come back often; their
+    ids are kept in two generations of a fixed number of short words each: when the
+    younger is full it becomes the older, and what is still in use moves back.
+
+    Letters and the marks behind them are merged apart.  A word of letters alone,
+    or with marks at its end, goes straight to the merges; any other word goes
+    through the tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, found: list[bytes]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in found], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.older: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(word) <= CACHED_BYTES:
+            self[word] = ids
+        return ids
+
+    def encode(self, word: bytes) -> bytes:
+        stem = word.rstrip(END_MARKS)
+        if stem.isalpha() or not stem:  # on bytes, of ASCII letters alone
+            plain = stem.decode()
+        else:
+            plain = stem.decode(errors="replace")
+            if plain.isalpha() and max(plain) < BEYOND and SIGMA not in plain:
+                plain = normalize("NFC", plain).lower()
+            if not plain.isalpha() or max(plain) >= BEYOND or SIGMA in plain:
+                return _packed(self.tokenizer.encode(word.decode(errors="replace"), add_special_tokens=False).ids)
+            plain = plain.encode().decode("latin-1").translate(self.letters)
+        ids = _packed([t.id for t in self.merge(plain)]) if plain else b""
+        if len(stem) == len(word):
+            return ids
+        marks = word[len(stem) :]
+        return ids + (self[marks] if stem else _packed([t.id for t in self.merge(marks.decode())]))
 
     def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        own = dict(zip(new, self.encode(new)))
-        known.update((w, i) for w, i in own.items() if len(w) <= CACHED_BYTES)
-        return b"".join([own[w] if w in own else known[w] for w in words])
+        if len(self) > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        if len(text) <= STRETCH:
+            return b"".join(map(self.__getitem__, text.lower().split()))
+        return b"".join(b"".join(map(self.__getitem__, part.lower().split())) for part in stretches(text))
+
+
+def stretches(text: bytes) -> Iterator[bytes]:
+    """A long text in parts that end at white space; a word of any length stays whole."""
+    first = 0
+    while first < len(text):
+        gap = WHITE.search(text, min(first + STRETCH, len(text)))
+        last = gap.start() if gap else len(text)
+        yield text[first:last]
+        first = last
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=2)
