@@ -240,8 +240,7 @@ def export_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export(spark, sf_dir)
 
 
-@query(f"""WITH {EXPORT_SQL} SELECT source_row, predicted_label, printf('%.6f', probability_active) AS p FROM export WHERE split = 'test'
-UNION ALL SELECT source_row, predicted_label, 'n/a' FROM export WHERE split = 'excluded'""")
+@query(f"WITH {EXPORT_SQL} SELECT source_row, predicted_label, coalesce(printf('%.6f', probability_active), 'n/a') AS p FROM export")
 def metric_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = export(spark, sf_dir).where(F.col("split").isin("test", "excluded"))
+    rows = export(spark, sf_dir)
     return rows.select("source_row", "predicted_label", S.metric_text(F.col("probability_active")).alias("p"))
