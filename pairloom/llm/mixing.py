@@ -113,10 +113,16 @@ def plan(
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken."""
-    spark = docs.sparkSession
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("key"))
-    rows = keyed.select(F.col(f"d.`{id_col}`").alias("id"), "key", F.col(f"d.`{source_col}`").alias("source"), word_count(F.col(f"d.`{text_col}`")).alias("size"))
+    """The documents of the mix, each as often as it is taken.
+
+    Rows are told apart by all their columns but maps, which have no hash.
+    """
+    told = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.xxhash64(*told).alias("key"))
+    rows = keyed.select(
+        F.col(f"d.`{id_col}`").alias("id"), "key", F.col(f"d.`{source_col}`").alias("source"),
+        word_count(F.col(f"d.`{text_col}`")).alias("size"),
+    )
     copies = plan(rows, **options).groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     # Rows that are alike in every column share what was taken of them.
     nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))

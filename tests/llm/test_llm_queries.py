@@ -53,7 +53,7 @@ def test_pipeline_stages(spark):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.schema == out[0].schema
     raw, ruled, lined, unique, mixed = ([tuple(r) for r in d.collect()] for d in out)
-    assert {r[0] for r in raw} - {r[0] for r in ruled} == {None, 130, 131, 132, 151} - {None}
+    assert {r[0] for r in raw} - {r[0] for r in ruled} == {130, 131, 132, 151, 152}
     assert len(lined) == len(ruled) and all(r[4] == len(r[1]) for r in lined)
     root = components([fingerprint(r[1]) for r in lined], 2)
     assert len(unique) == len(set(root))

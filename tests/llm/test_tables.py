@@ -213,6 +213,8 @@ def test_mix_repeats_documents(spark):
     taken, total = sum(n * len(words(r[1])) for r, n in counts.items()), sum(len(words(r[1])) for r in rows)
     assert taken <= 1.5 * total
     assert mixing.mix(frame(spark, [])).count() == 0
+    with_map = frame(spark, rows).withColumn("tags", F.create_map(F.lit("a"), F.col("doc_id")))
+    assert mixing.mix(with_map).count() == sum(counts.values())
 
 
 # --- packing ----------------------------------------------------------------------------------------------------------
