@@ -63,13 +63,27 @@ def release(spark: SparkSession, keep: Sequence[str] = ()) -> None:
         _WRITTEN.remove(path)
 
 
+# Stored bytes up to which a table is dealt out anew to use every core.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame, *key: str) -> DataFrame:
-    """Use every core on a table that is stored in fewer pieces than there are.
+    """Use every core on a small table that is stored in fewer pieces than there are.
 
-    A large table comes in many more pieces than cores and is left as it is.
+    A table of more than ``SPREAD_BYTES``, or in as many pieces as cores, is left as
+    it is: shuffling it would cost more than idle cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores or stored_bytes(df) > SPREAD_BYTES:
+        return df
+    return df.repartition(cores, *key)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Size of the files a scan reads."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in df.inputFiles()]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
