@@ -39,7 +39,7 @@ from pairloom.llm.common import filled, materialize
 
 CAPACITY = 2048
 SEPARATOR = 0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 CACHED_BYTES = 64
 STRETCH = 4 << 20
 
