@@ -17,7 +17,8 @@ def l2_norm(v: Column) -> Column:
 def l2_normalise(v: Column, eps: float = 1e-12) -> Column:
     """Scale to unit length; a zero vector stays zero."""
     norm = F.greatest(l2_norm(v), F.lit(eps))
-    return F.transform(as_double(v), lambda x: x / norm)
+    # Beside the elements, not inside the lambda, where each element would ask for it anew.
+    return F.zip_with(as_double(v), F.array_repeat(norm, F.size(v)), lambda x, n: x / n)
 
 
 def l2_distance(a: Column, b: Column) -> Column:
