@@ -330,12 +330,12 @@ def prepared_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fitted model saved, loaded and applied to a dataset: scores as before."""
     prepared = _prepared(spark, sf_dir)
-    pairs = pipelines.scoring_pairs(prepared.tables.relation, *pipelines.embed(prepared.tables, _plain_vectors, _plain_vectors))
+    pairs = pipelines.scoring_pairs(prepared.tables.relation, *pipelines.embed(prepared.tables))
     train = materialize(splits.split_rows(pairs, F.col("source_row").cast("string"), seed=B.SEED), "train")
-    model = modeling.fit(train, modeling.classifier("logistic", maxIter=3))
+    model = modeling.fit(train, modeling.classifier("logistic"))
     path = sinks.write_model(spark, model, scratch_path(spark, "model"), {"note": "tokens"})
     note = spark.read.json(f"{path}/metadata").select("metadata.note").first()[0]
-    again = pipelines.model_eval(sinks.read_model(path), prepared, _plain_vectors, _plain_vectors)
+    again = pipelines.model_eval(sinks.read_model(path), prepared)
     p = "probability_active"
     both = modeling.score(model, pairs).select("source_row", p).join(again.predictions.select("source_row", F.col(p).alias("q")), "source_row")
     return both.agg(
@@ -350,7 +350,7 @@ def cross_dataset_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = _prepared(spark, sf_dir)
     records = B.order_records(spark, sf_dir).where("source_row % 2 = 0").withColumn("activation", F.col("label").cast("string"))
     train = pipelines.Prepared(records.withColumn("reason", F.lit(None).cast("string")), normalize.to_tables(records))
-    result = pipelines.cross_eval(train, test, lambda dim: modeling.classifier("logistic", maxIter=3), B.SEED, left=_plain_vectors, right=_plain_vectors)
+    result = pipelines.cross_eval(train, test, lambda dim: modeling.classifier("logistic"), B.SEED)
     m = result.metrics.select(
         (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("judged"), (F.col("tp") + F.col("fn")).alias("positives"),
         F.col("auc").between(0.0, 1.0).alias("auc_in_range"),
@@ -368,7 +368,7 @@ def scenario_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     sinks.write_delimited(B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pro_ids"), F.col("s_name").alias("seq")), f"{root}/{prots}", ",")
     runs, mean = pipelines.scenario_runs(
         spark, "yamanishi:warm_start_1_1", {"root_path": root, "data_path": "f"}, _prepared(spark, sf_dir),
-        lambda dim: modeling.classifier("logistic", maxIter=2), left=_plain_vectors, right=_plain_vectors,
+        lambda dim: modeling.classifier("logistic"),
     )
     judged = (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).cast("bigint").alias("judged")
     return runs.select(F.col("run").cast("int").alias("run"), judged).withColumn("runs", F.lit(int(mean.first()["runs"])))
