@@ -43,10 +43,11 @@ from pairloom.llm.common import filled, materialize
 from pairloom.llm.url_filter import host_of
 
 # Tags and names by their part in a page.
-SKIPPED = "script style noscript template svg iframe textarea select object canvas math".split()
+SKIPPED = "script style noscript template svg iframe textarea select object canvas annotation annotation-xml".split()
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output q rp rt ruby s samp small"
-    " span strike strong sub sup time tt u var wbr".split()
+    " span strike strong sub sup time tt u var wbr math mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts"
+    " mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BREAKS = frozenset("br hr".split())
@@ -62,40 +63,76 @@ DROPPED_NAMES = frozenset(
     " notice notification pager pagination popup promo promoted promotion reactions recommended related replies reply"
     " search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+# What may stand around dropped names in a compound: "main-nav", "sidebar-left"; not "has-sidebar", "overflow-hidden".
+BEFORE = "article bottom entry footer global header left main mobile page post primary right secondary site sticky top".split()
+BEHIND = (
+    "area article articles bar block body bottom box button buttons container content form header inner item items label left"
+    " link links list message overlay panel post posts right row section slot stories thread title top unit wrap wrapper"
+).split()
+_NAMES = "|".join(sorted(DROPPED_NAMES - {"hidden"}))
+COMPOUND = re.compile(rf"(?:(?:{'|'.join(BEFORE)})-)*(?:{_NAMES})(?:-(?:{_NAMES}))*(?:-(?:{'|'.join(BEHIND)}|\d+(?:x\d+)?))*")
+# Elements of these names hold articles of their own beside that of the page: comments, teasers, adverts.
+COMPANIONS = frozenset(
+    "ad ads advert advertisement advertising comment comments disqus promo promoted promotion reactions recommended related"
+    " replies reply sponsor sponsored".split()
+)
 CONTAINER_NAMES = frozenset("article articlebody content main post entry story maincontent bodytext".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(SKIPPED)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))"
+    rf"|<({'|'.join(SKIPPED)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAMING = ("class", "id", "role", "itemprop")
 
-OPEN, CLOSE, TEXT, BREAK = range(4)
+OPEN, CLOSE, TEXT, BREAK, LEFT_OUT = range(5)
 # A wrapper node: name, pages seen in, optional, repeated, slot (None while constant), its text's checksum, characters, characters in links, children.
 NAME, SEEN, OPTIONAL, REPEATED, VARIES, SUM, CHARS, LINKED, KIDS = range(9)
 KINDS = ("article", "main", "content", "text")
 MAX_DEPTH = 100
 
 
+def attributes_of(attributes: str) -> dict[str, str]:
+    """The attributes by name, in lower case; of equal names the first counts."""
+    out: dict[str, str] = {}
+    if attributes and ("=" in attributes or "hidden" in attributes.lower()):
+        for name, *values in ATTRIBUTE.findall(attributes):
+            out.setdefault(name.lower(), "".join(values).lower())
+    return out
+
+
+@lru_cache(maxsize=20_000)
+def dropped_names(attributes: str) -> frozenset[str]:
+    """Words for which an element is left out: whole classes or ids, listed compounds, and ``hidden``."""
+    values = attributes_of(attributes)
+    found = {"hidden"} if "hidden" in values or values.get("aria-hidden", "").strip() == "true" else set()
+    for key in NAMING:
+        for name in values.get(key, "").split():
+            name = re.sub(r"[_\-]+", "-", name).strip("-")
+            if name in DROPPED_NAMES:
+                found.add(name)
+            elif COMPOUND.fullmatch(name):
+                found.update(DROPPED_NAMES.intersection(name.split("-")))
+    return frozenset(found)
+
+
 @lru_cache(maxsize=20_000)
 def role_of(tag: str, attributes: str) -> tuple[str, bool, str]:
     """Name of an element in wrappers, whether it is left out, and what kind of container it is."""
-    words, label = set(), ""
-    if attributes and ("=" in attributes or "hidden" in attributes.lower()):
-        for key, *values in ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), "".join(values).lower()
-            if key == "hidden":
-                words.add("hidden")
-            elif value:
-                words.update(re.split(r"[\s_\-]+", value))
-                label += "." + re.sub(r"\d+", "#", value.strip())
-    dropped = tag in DROPPED_TAGS or not words.isdisjoint(DROPPED_NAMES)
-    if tag in ("article", "main", "body", "html"):
-        dropped = "comment" in words or "comments" in words or "hidden" in words
+    values = attributes_of(attributes)
+    named = [values[key] for key in values if key in NAMING and values[key]]
+    words = {w for value in named for w in re.split(r"[\s_\-]+", value)}
+    label = "".join("." + re.sub(r"\d+", "#", value.strip()) for value in named)
+    names = dropped_names(attributes)
+    dropped = tag in DROPPED_TAGS or bool(names)
+    if tag in ("article", "main"):
+        dropped = not names.isdisjoint(("comment", "comments", "hidden"))
+    elif tag in ("body", "html"):
+        dropped = False
     kind = tag if tag in ("article", "main") else "content" if words & CONTAINER_NAMES else ""
     return tag + label, dropped, kind
 
@@ -150,21 +187,63 @@ def events(page: str) -> Iterator[tuple[int, str, bool]]:
         yield CLOSE, stack.pop(), False
 
 
+def enclosing(stream: list[tuple[int, str, bool]]) -> set[int]:
+    """Places in the token stream of elements that would be left out, but hold the article container.
+
+    That is a ``main`` element, an article body, or every ``article`` of the page; the
+    latter not where elements hold other articles by their nature.
+    """
+    kept: set[int] = set()
+    open_: list[tuple[str, int, bool]] = []  # tag, place if left out, or -1, and whether it holds articles beside the page's
+    common: list[int] | None = None
+    for place, (what, value, _) in enumerate(stream):
+        if what == CLOSE:
+            open_.pop()
+        if what != OPEN:
+            continue
+        tag, _, attributes = value.partition(" ")
+        dropped = role_of(tag, attributes)[1]
+        around = [] if dropped else [o for o in open_ if o[1] >= 0]
+        values = attributes_of(attributes) if around else {}
+        if around and (tag == "main" or values.get("role") == "main" or "articlebody" in values.get("itemprop", "").split()):
+            kept.update(at for _, at, _ in around)
+        elif tag == "article" and not dropped and all(o[0] != "article" for o in open_):
+            places = [] if any(beside for *_, beside in around) else [at for _, at, _ in around]
+            common = places if common is None else [at for at in common if at in places]
+        beside = dropped and (tag in DROPPED_TAGS - {"form", "fieldset"} or not dropped_names(attributes).isdisjoint(COMPANIONS))
+        open_.append((tag, place if dropped else -1, beside))
+    return kept.union(common or ())
+
+
+def visible(page: str) -> Iterator[tuple[int, str, bool]]:
+    """The token stream without what left-out elements hold; of those themselves, ``LEFT_OUT``."""
+    stream = list(events(page))
+    kept, hidden = None, 0
+    for place, (what, value, in_link) in enumerate(stream):
+        if hidden:
+            hidden += (what == OPEN) - (what == CLOSE)
+            continue
+        if what == OPEN:
+            tag, _, attributes = value.partition(" ")
+            if role_of(tag, attributes)[1]:
+                kept = enclosing(stream) if kept is None else kept
+                if place not in kept:
+                    hidden = 1
+                    yield LEFT_OUT, value, in_link
+                    continue
+        yield what, value, in_link
+
+
 def shape(page: str) -> list:
     """The page as a wrapper of its own, parts that are left out without what they hold."""
     root = ["", 1, 0, 0, 0, 0, 0, 0, []]
-    stack, hidden = [root], 0
-    for what, value, in_link in events(page):
-        if hidden:
-            hidden += (what == OPEN) - (what == CLOSE)
-        elif what == OPEN:
+    stack = [root]
+    for what, value, in_link in visible(page):
+        if what in (OPEN, LEFT_OUT):
             tag, _, attributes = value.partition(" ")
-            name, dropped, _ = role_of(tag, attributes)
-            node = [name, 1, 0, 0, 0, 0, 0, 0, []]
+            node = [role_of(tag, attributes)[0], 1, 0, 0, 0, 0, 0, 0, []]
             stack[-1][KIDS].append(node)
-            if dropped:
-                hidden = 1
-            else:
+            if what == OPEN:
                 stack.append(node)
         elif what == CLOSE:
             node = stack.pop()
@@ -246,9 +325,7 @@ def slots(wrapper: list) -> dict[str, str]:
     def walk(node: list, path: str, kind: str, in_header: bool) -> None:
         name = node[NAME]
         tag = name.partition(".")[0]
-        _, dropped, own = role_of(tag, f'class="{name.partition(".")[2].replace(".", " ")}"') if name else ("", False, "")
-        if dropped:
-            return
+        _, _, own = role_of(tag, f'class="{name.partition(".")[2].replace(".", " ")}"') if name else ("", False, "")
         if own and (not kind or KINDS.index(own) < KINDS.index(kind)):
             kind = own
         in_header = in_header or (tag == "header" and kind not in ("article", "main"))
@@ -272,22 +349,15 @@ def _any_slot(node: list) -> bool:
 def extract(page: str, article: dict[str, str]) -> str:
     """Text of the slots of the best kind of container that the page has."""
     parts: dict[str, list[str]] = {}
-    stack, hidden = [""], 0
-    for what, value, _ in events(page):
-        if hidden:
-            hidden += (what == OPEN) - (what == CLOSE)
-            continue
+    stack = [""]
+    for what, value, _ in visible(page):
         if what == TEXT:
             if kind := article.get(stack[-1]):
                 parts.setdefault(kind, []).append(html.unescape(value))
             continue
         if what == OPEN:
             tag, _, attributes = value.partition(" ")
-            name, dropped, _ = role_of(tag, attributes)
-            if dropped:
-                hidden = 1
-            else:
-                stack.append(f"{stack[-1]}/{name}")
+            stack.append(f"{stack[-1]}/{role_of(tag, attributes)[0]}")
         elif what == CLOSE:
             stack.pop()
         for texts in parts.values():
