@@ -48,3 +48,21 @@ def test_runs_use_the_defaults_of_the_library(spark, monkeypatch, name):
     assert bound["estimator"].getMaxIter() == LogisticRegression().getMaxIter() and bound["stages"] == 5
     width = inspect.signature(features.hash_featurize).parameters["dim"].default
     assert bound["pairs"].select(F.size("features").alias("n")).first()["n"] == 2 * width
+
+
+def test_cross_dataset_run_trains_on_every_order(spark, monkeypatch):
+    """Every order reaches the split."""
+    from pairloom.plans import pipelines
+    from queries import bindings as B
+
+    given = []
+
+    def stop(train, *args, **kwargs):
+        given.append(train)
+        raise Fitted
+
+    monkeypatch.setattr(pipelines, "cross_eval", stop)
+    with pytest.raises(Fitted):
+        named.QUERIES["cross_dataset_run"](spark, SF)
+    rows = B.order_records(spark, SF).count()
+    assert given[0].checked.count() == given[0].tables.relation.count() == rows
