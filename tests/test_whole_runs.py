@@ -66,3 +66,20 @@ def test_cross_dataset_run_trains_on_every_order(spark, monkeypatch):
         named.QUERIES["cross_dataset_run"](spark, SF)
     rows = B.order_records(spark, SF).count()
     assert given[0].checked.count() == given[0].tables.relation.count() == rows
+
+
+def test_scenario_run_writes_every_line_to_the_folds(spark, monkeypatch):
+    from pairloom.plans import pipelines
+    from queries import bindings as B
+
+    given = []
+
+    def stop(spark, scenario, config, *args, **kwargs):
+        given.append(config)
+        raise Fitted
+
+    monkeypatch.setattr(pipelines, "scenario_runs", stop)
+    with pytest.raises(Fitted):
+        named.QUERIES["scenario_run"](spark, SF)
+    folds = f"{given[0]['root_path']}/{given[0]['data_path']}"
+    assert spark.read.csv(folds, header=True).count() == B.table(spark, SF, "lineitem").count()
