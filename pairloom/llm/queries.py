@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pairloom.llm import (
-    byte_bpe, classifier, exact_dedup, html_extract, interaction_audit, line_dedup, mixing, packing, quality_rules, simhash,
-    token_counts, url_filter,
+    byte_bpe, classifier, exact_dedup, html_extract, interaction_audit, line_dedup, mixing, packing, prefix_trie,
+    quality_rules, simhash, token_counts, url_filter,
 )
 from pairloom.llm.common import read_table
 
@@ -60,6 +60,10 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digest(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "source")
     return interaction_audit.digest(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
@@ -70,7 +74,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_token_counts, op2_quality_classifier, op3_simhash_near_dedup, op4_mix_sources, op5_exact_dedup, op6_line_dedup,
         op7_best_fit_packing, op8_url_filter, op9_quality_rules, op10_html_extraction, op11_byte_bpe,
-        op13_filter_interactions,
+        op12_prefix_trie, op13_filter_interactions,
     )
 }
 TWINS = {
@@ -78,5 +82,6 @@ TWINS = {
     "op6_line_dedup": line_dedup.SQL,
     "op8_url_filter": url_filter.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
     "op13_filter_interactions": interaction_audit.SQL,
 }
