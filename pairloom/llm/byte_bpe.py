@@ -40,10 +40,11 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from pairloom.llm.common import filled
 
 ROW_BYTES = 64
-CACHE_WORDS = 250_000
+CACHE_WORDS = 120_000
 CACHED_CHARS = 64
 STRETCH = 1 << 20
-FLUSH_CHARS = 4 << 20
+FLUSH_CHARS = 2 << 20
+SLICE_ROWS = 512
 NONE = np.int64(1) << 62
 # A cut that no word crosses: one space between two characters that are none.
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -61,7 +62,6 @@ class Merges:
 
     def __init__(self, vocab: dict[str, int], merges: list):
         letters = byte_letters()
-        byte_of = {c: b for b, c in enumerate(letters)}
         self.size = max(vocab.values()) + 1
         self.first = np.array([vocab[c] for c in letters], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
@@ -74,7 +74,6 @@ class Merges:
         self.rank_of = dict(zip(keys.tolist(), range(len(pairs))))
         # Ranks of pairs of bytes, looked up by the bytes.
         self.of_bytes = self.ranks(np.repeat(self.first, 256), np.tile(self.first, 256)).reshape(256, 256)
-        self.bytes_of = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items()}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair's merge, -1 where it has none."""
@@ -227,15 +226,37 @@ def _known_class(text: str) -> bool:
     return all(unicodedata.category(c) != "Cn" for c in set(HIGHER.findall(text)))
 
 
-class Codec:
-    """Encoder and decoder of one tokenizer file."""
+class Decoder:
+    """The bytes of every id of a tokenizer file."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        pieces = {i: bytes(byte_of[c] for c in t) for t, i in spec["model"]["vocab"].items()}
+        pieces |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+
+    def decode(self, ids: bytes) -> str:
+        """The text of ids; an id without a piece stands for nothing."""
+        pieces = self.pieces
+        numbers = np.frombuffer(ids, "<u4")
+        if len(numbers) and numbers.max() >= len(pieces):
+            numbers = numbers[numbers < len(pieces)]
+        parts = (numbers[a : a + STRETCH].tolist() for a in range(0, len(numbers), STRETCH))
+        return b"".join(b"".join(map(pieces.__getitem__, part)) for part in parts).decode(errors="replace")
+
+
+class Encoder:
+    """Ids of texts by one tokenizer file."""
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        model = json.loads(tokenizer.to_str())["model"]
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         self.merges = Merges(model["vocab"], model["merges"])
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.plain_split = _plain_pattern().findall
@@ -244,8 +265,6 @@ class Codec:
         self.special = {s: struct.pack("<I", i) for s, i in special.items()}
         longest_first = sorted(special, key=len, reverse=True)
         self.literals = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if special else None
-        pieces = self.merges.bytes_of | {i: s.encode() for s, i in special.items()}
-        self.pieces = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -307,15 +326,6 @@ class Codec:
         self.keep(ids)
         return found
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids; an id without a piece stands for nothing."""
-        pieces = self.pieces
-        numbers = np.frombuffer(ids, "<u4")
-        if len(numbers) and numbers.max() >= len(pieces):
-            numbers = numbers[numbers < len(pieces)]
-        parts = (numbers[a : a + STRETCH].tolist() for a in range(0, len(numbers), STRETCH))
-        return b"".join(b"".join(map(pieces.__getitem__, part)) for part in parts).decode(errors="replace")
-
 
 def stretches(text: str) -> Iterator[str]:
     """A long text in parts that no word crosses."""
@@ -327,9 +337,8 @@ def stretches(text: str) -> Iterator[str]:
         first = last
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+encoder = lru_cache(maxsize=2)(Encoder)
+decoder = lru_cache(maxsize=2)(Decoder)
 
 
 def _mapped(rows: DataFrame, name: str, kind, work) -> DataFrame:
@@ -337,8 +346,10 @@ def _mapped(rows: DataFrame, name: str, kind, work) -> DataFrame:
     out = StructType([rows.schema["row"], StructField(name, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), work(batch.column(1))], names=["row", name])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                yield pa.RecordBatch.from_arrays([batch.column(0), work(batch.column(1))], names=["row", name])
 
     return rows.mapInArrow(run, out).select("row.*", name)
 
@@ -353,7 +364,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", tokeni
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def work(texts: pa.Array) -> pa.Array:
-        return pa.array(codec(path).encode([t.decode(errors="replace") for t in texts.cast(pa.binary()).to_pylist()]), pa.binary())
+        return pa.array(encoder(path).encode([t.decode(errors="replace") for t in texts.cast(pa.binary()).to_pylist()]), pa.binary())
 
     return _mapped(_rows(docs, filled(docs[text_col]), ids_col), ids_col, BinaryType(), work)
 
@@ -363,7 +374,7 @@ def decode(docs: DataFrame, ids_col: str = "ids", text_col: str = "decoded", tok
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
 
     def work(ids: pa.Array) -> pa.Array:
-        return pa.array([codec(path).decode(i) for i in ids.to_pylist()], pa.string())
+        return pa.array([decoder(path).decode(i) for i in ids.to_pylist()], pa.string())
 
     return _mapped(_rows(docs, F.coalesce(docs[ids_col], F.lit(b"")), text_col), text_col, StringType(), work)
 
