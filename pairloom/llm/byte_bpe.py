@@ -337,8 +337,14 @@ def stretches(text: str) -> Iterator[str]:
         first = last
 
 
-encoder = lru_cache(maxsize=2)(Encoder)
-decoder = lru_cache(maxsize=2)(Decoder)
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def _mapped(rows: DataFrame, name: str, kind, work) -> DataFrame:
