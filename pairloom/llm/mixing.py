@@ -66,10 +66,15 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float =
 def plan(
     rows: DataFrame, weights: Sequence[float] = WEIGHTS, ratio: float = RATIO, passes: int = PASSES, seed: int = 42
 ) -> DataFrame:
-    """``id, key, source, size`` rows with ``copies``, ``source_size`` and ``target`` added."""
+    """``id, key, source, size`` rows with ``copies``, ``source_size`` and ``target`` added.
+
+    ``key`` stands for the text: with the id it decides the order.  A column ``mark``
+    may tell apart rows that are alike in both; it has no part in the order.
+    """
     spark = rows.sparkSession
     order = F.xxhash64(F.lit(seed), "id", "key", "size")
-    sized = materialize(rows.select("id", "key", "source", "size", order.alias("h")), "sizes")
+    mark = F.col("mark") if "mark" in rows.columns else F.lit(0).cast("long")
+    sized = materialize(rows.select("id", "key", "source", "size", mark.alias("mark"), order.alias("h")), "sizes")
     blocks = 1 << max(0, math.ceil(math.log2(math.sqrt(sized.count() + 1))))
     bits = max(1, int(math.log2(blocks)))
     blocked = sized.withColumn("block", F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits))
@@ -78,9 +83,9 @@ def plan(
     starts = sums.select(
         F.col("source").alias("s2"), F.col("block").alias("b2"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start")
     )
-    inside = Window.partitionBy("source", "block").orderBy("h", "id", "key", "size")
+    inside = Window.partitionBy("source", "block").orderBy("h", "id", "key", "size", "mark")
     placed = blocked.select(
-        "id", "key", "source", "size", "h", "block",
+        "id", "key", "source", "size", "mark", "h", "block",
         F.row_number().over(inside).alias("row"),
         F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("within"),
     )
@@ -90,7 +95,7 @@ def plan(
         each, placed["source"].eqNullSafe(each["s3"])
     )
     entries = timed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).select(
-        "id", "key", "source", "block", "row", "size", "source_size", "target", "turn",
+        "id", "key", "source", "block", "row", "size", "mark", "source_size", "target", "turn",
         ((F.col("turn") * F.col("source_size") + F.col("start") + F.col("within")) / F.col("weight")).alias("finish"),
     )
     total_order = ["finish", "source", "turn", "block", "row"]
@@ -107,26 +112,32 @@ def plan(
     served = ranged.withColumn("run", running).join(offsets, "part").withColumn(
         "in", F.col("run") + F.col("offset") <= F.lit(float(head["b"] or 0.0))
     )
-    return served.groupBy("source", "block", "row", "id", "key", "size", "source_size", "target").agg(
+    return served.groupBy("source", "block", "row", "id", "key", "size", "mark", "source_size", "target").agg(
         F.count_if("in").alias("copies")
     ).drop("block", "row")
 
 
+def text_key(text: Column) -> Column:
+    """A number that stands for a text; NULL and empty ones are told apart."""
+    return F.xxhash64(text, text.isNull())
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken.
 
-    Rows are told apart by all their columns but maps, which have no hash.
+    Id and text decide the order, so other columns do not change a mix.  Rows are
+    told apart by all their columns but maps, which have no hash.
     """
     told = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.xxhash64(*told).alias("key"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.xxhash64(*told).alias("mark"))
     rows = keyed.select(
-        F.col(f"d.`{id_col}`").alias("id"), "key", F.col(f"d.`{source_col}`").alias("source"),
+        F.col(f"d.`{id_col}`").alias("id"), text_key(F.col(f"d.`{text_col}`")).alias("key"), "mark", F.col(f"d.`{source_col}`").alias("source"),
         word_count(F.col(f"d.`{text_col}`")).alias("size"),
     )
-    copies = plan(rows, **options).groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    copies = plan(rows, **options).groupBy("mark").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     # Rows that are alike in every column share what was taken of them.
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    met = keyed.join(copies.where("copies > 0"), "key").withColumn("nth", nth)
+    nth = F.row_number().over(Window.partitionBy("mark").orderBy("mark"))
+    met = keyed.join(copies.where("copies > 0"), "mark").withColumn("nth", nth)
     times = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("nth") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
     return met.withColumn("copy", F.explode(F.sequence(F.lit(0), times.cast("int")))).where("copy > 0").select("d.*")
 
@@ -135,7 +146,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").alias("id"), F.lit(0).alias("key"), "source", word_count(docs["text"]).alias("size"))
+    rows = docs.select(F.col("doc_id").alias("id"), text_key(docs["text"]).alias("key"), "source", word_count(docs["text"]).alias("size"))
     mixed = plan(rows)
     return mixed.select(
         F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")

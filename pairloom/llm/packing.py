@@ -80,7 +80,11 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # a word gets its literals from lower-casing alone
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.merge = self.tokenizer.model.tokenize
         self.letters = byte_letters()
         self.older: dict[bytes, bytes] = {}
@@ -114,6 +118,8 @@ class WordIds(dict):
         if len(self) > CACHE_WORDS:
             self.older = dict(self)
             self.clear()
+        if any(s in text for s in self.special):
+            return _packed(self.whole.encode(text.decode(errors="replace"), add_special_tokens=False).ids)
         if len(text) <= STRETCH:
             return b"".join(map(self.__getitem__, text.lower().split()))
         return b"".join(b"".join(map(self.__getitem__, part.lower().split())) for part in stretches(text))

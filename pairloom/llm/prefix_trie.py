@@ -209,8 +209,8 @@ class Shard:
         node = self.stack.pop()
         if node.skeleton >= 0:
             self.send(node)
-            if node.n:
-                self.out.append((PART, node.skeleton, node.least, None, None, node.n, node.children, node.leaves, node.saved, None, node.len))
+            # Also where nothing but skeleton nodes lies below: the length of its turn is known here alone.
+            self.out.append((PART, node.skeleton, node.least, None, None, node.n, node.children, node.leaves, node.saved, None, node.len))
             return
         node.leaves = node.leaves or 1
         node.saved += (node.n - 1) * node.len

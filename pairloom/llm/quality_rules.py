@@ -35,6 +35,7 @@ BOILERPLATE = (
 )
 # Of those, the ones that prose holds too.
 EVERYDAY = r"privacy policy|sign up for|click here|powered by|follow us on|share this"
+GAP = "\x01"  # stands where such a phrase was
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -69,21 +70,20 @@ def line_measures(line: Column) -> Column:
     )
 
 
-def line_fails(m: Column, rules: Rules = Rules(), spare_prose: bool = False) -> Column:
+def line_fails(m: Column, rules: Rules = Rules()) -> Column:
     """Does a measured line fail the punctuation, navigation or boilerplate rule?  Lines without a word do not.
 
-    With ``spare_prose`` everyday phrases fail a line only where they make up half of it or more.
+    Everyday phrases, which prose holds too, fail a line only where they make up half of it or more.
     """
 
     def heavy(n: Column, percent: int) -> Column:
         return (n >= rules.min_line_marks) & (n * 100 > m["size"] * percent)
 
     short = F.length(m["line"]) <= rules.boilerplate_chars
-    phrases = F.lower(m["line"]).rlike(NAVIGATION + "|" + BOILERPLATE)
-    if spare_prose:
-        rest = F.regexp_replace(F.lower(m["line"]), EVERYDAY, "\x00")
-        own = F.length(F.regexp_replace(rest, "[\x00" + SPACE_CLASS[1:] + "+", ""))
-        phrases = phrases & (rest.rlike(NAVIGATION + "|" + BOILERPLATE) | (own * 2 <= m["size"]))
+    rest = F.regexp_replace(F.lower(m["line"]), EVERYDAY, GAP)
+    own = F.length(F.regexp_replace(rest, f"[{GAP}" + SPACE_CLASS[1:] + "+", ""))
+    all_phrases = NAVIGATION + "|" + BOILERPLATE
+    phrases = F.lower(m["line"]).rlike(all_phrases) & (rest.rlike(all_phrases) | (own * 2 <= m["size"]))
     return (m["size"] > 0) & (
         heavy(m["symbols"], rules.max_symbol_percent)
         | heavy(m["marks"], rules.max_mark_percent)
@@ -92,7 +92,7 @@ def line_fails(m: Column, rules: Rules = Rules(), spare_prose: bool = False) ->
     )
 
 
-def evaluate(docs: DataFrame, text_col: str = "text", into: str = "quality", rules: Rules = Rules(), spare_prose: bool = False) -> DataFrame:
+def evaluate(docs: DataFrame, text_col: str = "text", into: str = "quality", rules: Rules = Rules()) -> DataFrame:
     """Add a struct of counts and verdicts, with the text that is left in ``clean_text``."""
     w = rules.window
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != into]).alias("d"), filled(docs[text_col]).alias("t"))
@@ -103,7 +103,7 @@ def evaluate(docs: DataFrame, text_col: str = "text", into: str = "quality", rul
     # What a lambda needs of a line is in its struct: a column named inside it could be computed anew for every line.
     judged = hashed.select(
         "d", "t", "n_words", F.col("w").alias("windows"),
-        F.transform("measured", lambda m: F.struct(m["line"], m["size"], m["symbols"], line_fails(m, rules, spare_prose).alias("bad"))).alias("lines"),
+        F.transform("measured", lambda m: F.struct(m["line"], m["size"], m["symbols"], line_fails(m, rules).alias("bad"))).alias("lines"),
     )
     # Only windows of documents that repeat one are sorted.
     repeated = F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.col("windows")).otherwise(F.array().cast("array<bigint>"))
@@ -173,14 +173,13 @@ def _covered(starts: str, width: int) -> Column:
 
 
 def keep_clean(docs: DataFrame, text_col: str = "text", rules: Rules = Rules(), observed: str = "quality rules") -> DataFrame:
-    """Documents that pass, without the lines that fail.  An unchanged text stays as it was, and so does prose that
-    only holds an everyday phrase.
+    """Documents that pass, without the lines that fail.  An unchanged text stays as it was.
 
     The run reports, under the name ``observed``, how many were judged and how many
     pass.  What is observed also keeps the filter above the projections that it is
     made of; below them each would be written out as often as the next one uses it.
     """
-    judged = evaluate(docs, text_col, "_quality", rules, spare_prose=True)
+    judged = evaluate(docs, text_col, "_quality", rules)
     own = [F.col("_quality.clean_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     marked = judged.select(F.struct(*own).alias("d"), F.col("_quality.kept").alias("kept"))
     seen = marked.observe(observed, F.count("kept").alias("judged"), F.count_if("kept").alias("kept"))
@@ -204,6 +203,8 @@ def _sql() -> str:
         return f"({n} >= {rules.min_line_marks} AND {n} * 100 > length(translate(l, {space}, '')) * {percent})"
 
     phrases = (NAVIGATION + "|" + BOILERPLATE).replace("'", "''")
+    rest = f"regexp_replace(lower(l), '{EVERYDAY}', chr(1), 'g')"
+    own = f"length(translate({rest}, {space} || chr(1), ''))"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, string_split(t, chr(10)) AS lines FROM d),
@@ -214,7 +215,8 @@ line AS (SELECT r, unnest(lines) AS l FROM w),
 bad AS (SELECT r, sum(length(translate(l, {space}, ''))) AS chars, count(*) AS n, count(DISTINCT l) AS nd,
   sum(CASE WHEN {heavy(SYMBOLS, rules.max_symbol_percent)} OR {heavy(MARKS, rules.max_mark_percent)}
     OR {heavy(SEPARATORS, rules.max_separator_percent)}
-    OR (length(l) <= {rules.boilerplate_chars} AND regexp_matches(lower(l), '{phrases}'))
+    OR (length(l) <= {rules.boilerplate_chars} AND regexp_matches(lower(l), '{phrases}')
+      AND (regexp_matches({rest}, '{phrases}') OR {own} * 2 <= length(translate(l, {space}, ''))))
     THEN length(translate(l, {space}, '')) ELSE 0 END) AS lost
   FROM line WHERE length(translate(l, {space}, '')) > 0 GROUP BY r),
 s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars,

@@ -1,16 +1,20 @@
 """URL filters: host and path rules, then a weighted vocabulary.
 
 Rules allow or block a host with its subdomains and a leading part of the path;
-the longest rule that fits decides.  Any other URL is judged by its words: an
-Aho-Corasick automaton counts strict and soft terms, a term counting only where
-no letter or digit stands beside it.  One strict term blocks, and so do several
-different soft ones.
+the longest rule that fits decides.  Any other URL is judged by its words, those
+of its query and fragment included and whether or not it has a ``://``: an
+Aho-Corasick automaton counts strict and soft terms in the decoded URL, a term
+counting only where no letter or digit stands beside it.  One strict term blocks,
+and so do several different soft ones.
 
 Each URL is judged on its own, without a shuffle.  Rules and vocabulary are
 parameters, small by nature, and go to the executors with the task.
 
-Defined results: NULL and a URL without ``://`` have an empty host and path, fit
-no rule and hold no term, so they are allowed.  Repeated rows are judged alike.
+Defined results: NULL counts as empty; that and a URL without ``://`` have an
+empty host and path and fit no rule.  Escapes that are not UTF-8 leave the URL as
+it is.  Repeated rows are judged alike, URLs of any length whole; an empty table
+gives an empty one.  Other columns stay; those with the names of results are
+replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from urllib.parse import unquote
 
 import ahocorasick
 import pandas as pd
@@ -78,6 +83,14 @@ def hits(text: str, vocabulary: Vocabulary = Vocabulary()) -> tuple[int, int]:
     return strict, len(soft)
 
 
+def judged_text(url: str) -> str:
+    """What terms are looked for in: the whole URL, unescaped, in lower case."""
+    try:
+        return unquote(url, errors="strict").lower()
+    except UnicodeDecodeError:
+        return url.lower()
+
+
 def _rest(url: Column) -> Column:
     """What follows the first ``://``, or nothing."""
     at = F.instr(url, "://")
@@ -107,14 +120,14 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, vocabulary: Vocab
     own = ("host", "path", "rule", "verdict", "strict_hits", "soft_terms")
 
     @F.pandas_udf("strict int, soft int")
-    def count(host: pd.Series, path: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([hits((h + p).lower(), vocabulary) for h, p in zip(host, path)], columns=["strict", "soft"])
+    def count(url: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([hits(judged_text(u), vocabulary) for u in url], columns=["strict", "soft"])
 
     kept = [c for c in pages.columns if c not in own]
     url = filled(pages[url_col])
-    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("d"), host_of(url).alias("host"), path_of(url).alias("path"))
+    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("d"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    counted = base.select("*", rule.alias("rule"), verdict.alias("told"), count("host", "path").alias("n"))
+    counted = base.select("*", rule.alias("rule"), verdict.alias("told"), count("url").alias("n"))
     bad = (F.col("n.strict") >= 1) | (F.col("n.soft") >= vocabulary.min_soft)
     return counted.select(
         "d.*", "host", "path", "rule", F.coalesce("told", F.when(bad, "block").otherwise("allow")).alias("verdict"),
@@ -142,11 +155,11 @@ def _sql(vocabulary: Vocabulary = Vocabulary()) -> str:
         verdict += f"{when}'{what}'"
     return f"""
 WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS p FROM pages),
-r AS (SELECT page_id, CASE WHEN p > 0 THEN substr(url, p + 3) ELSE '' END AS r FROM u),
-h AS (SELECT page_id, regexp_extract(r, '^[^/?#]*') AS h0, r FROM r),
-s AS (SELECT page_id, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+r AS (SELECT page_id, url, CASE WHEN p > 0 THEN substr(url, p + 3) ELSE '' END AS r FROM u),
+h AS (SELECT page_id, url, regexp_extract(r, '^[^/?#]*') AS h0, r FROM r),
+s AS (SELECT page_id, url, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(substr(r, length(h0) + 1), '^[^?#]*') AS path FROM h),
-v AS (SELECT *, lower(host || path) AS t FROM s)
+v AS (SELECT *, lower(coalesce(TRY(url_decode(url)), url)) AS t FROM s)
 SELECT page_id, host, path, CASE{rule} ELSE NULL END AS rule,
   CASE{verdict} WHEN {strict} OR ({soft}) >= {vocabulary.min_soft} THEN 'block' ELSE 'allow' END AS verdict
 FROM v"""

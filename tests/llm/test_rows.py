@@ -63,6 +63,8 @@ URLS = [
     "http://a.example.org/en/1x", "https://Example.ORG/es/?q", "https://x.org", "https://x.org/", "ftp://b.com/fr/a#x", "http://b.com/de/",
     "http://bcom/de/", "no scheme casino", None, "", "://", "http://h?://casino/x", "http://casino.net/", "http://casinos.net/",
     "http://cheap-pills.net/", "http://cheap.net/cheap/", "http://free.net/a/bets?x=casino", "http://xn--casino1.net/", "http://a\nb.net/casino",
+    "http://x.net/go?cat=casino", "http://x.net/#PORN", "casino.net/porn", "http://x.net/free%20bet", "http://x.net/%63asino", "http://x.net/%FFcasino",
+    "http://x.net/%zzcasino%", "http://x.org/?casino", "http://x.net/a?b=" + "y" * 50_000 + "&casino",
 ]
 
 
@@ -76,9 +78,10 @@ def test_url_rules_and_terms(spark):
     assert [got[i]["path"] for i in (0, 1, 2, 3, 4, 11, 16)] == ["/en/1x", "/es/", "", "/", "/fr/a", "", "/a/bets"]
     assert [got[i]["rule"] for i in range(7)] == ["example.org/en/1", "example.org/es/", None, "org/", "com/fr/", "com/de/", None]
     assert [got[i]["verdict"] for i in range(19)] == (
-        ["block", "block", "allow", "allow", "allow", "block", "allow", "allow", "allow", "allow", "allow", "allow"]
+        ["block", "block", "allow", "allow", "allow", "block", "allow", "block", "allow", "allow", "allow", "block"]
         + ["block", "allow", "block", "allow", "block", "allow", "block"]
     )
+    assert [got[i]["verdict"] for i in range(19, 28)] == ["block"] * 5 + ["allow", "allow", "allow", "block"]
 
 
 def reference_tokenizer():

@@ -215,6 +215,8 @@ def test_mix_repeats_documents(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
     with_map = frame(spark, rows).withColumn("tags", F.create_map(F.lit("a"), F.col("doc_id")))
     assert mixing.mix(with_map).count() == sum(counts.values())
+    alone = Counter(map(tuple, mixing.mix(frame(spark, rows)).collect()))
+    assert alone == counts  # other columns change neither the order nor the cut
 
 
 # --- packing ----------------------------------------------------------------------------------------------------------
@@ -258,8 +260,9 @@ def test_pack_documents(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     rows = awkward() + [(400, "İstanbul ΣΑΣ ﬁ é <|endoftext|> don't x y\x1cz", "en", "s", 0)]
+    literals = ["abc <|endoftext|> def", "<|startoftext|>a<|endoftext|>" * 3, "<|ENDOFTEXT|> x", "a<|endoftext|", "x<|endoftext|>y " + rows[0][1]]
+    rows += [(410 + i, t, "en", "s", 0) for i, t in enumerate(literals)]
     expected = []
     for i, text, *_ in rows:
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 0], "<u4")

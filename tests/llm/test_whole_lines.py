@@ -42,3 +42,10 @@ def test_boilerplate_goes(spark, line):
 def test_pipeline_keeps_a_clean_line(spark):
     docs = frame(spark, [(0, PUMP, "en", "s", len(PUMP))])
     assert [r["text"] for r in corpus_pipeline.quality(spark, docs, "").collect()] == [PUMP]
+
+
+def test_query_keeps_clean_lines_as_the_pipeline_does(spark):
+    rows = [(i, line, "en", "s", 0) for i, line in enumerate(PROSE)] + [(100, "\n".join(PROSE), "en", "s", 0)]
+    found = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_rules.digest(frame(spark, rows)).collect()}
+    assert all(kept != failed for failed, kept in found.values())
+    assert found[0] == found[100] == (False, True)
