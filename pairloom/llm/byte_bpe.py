@@ -204,6 +204,8 @@ class Merges:
         return kept[kept >= 0].astype("<u4").tobytes()
 
 
+# Fixed value: the white space below ``HIGH`` (Python's own class has the separators 1C to 1F too).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0"
 # Characters from here on are left to the full pattern, which is slower.
 HIGH = "\u0530"
 HIGHER = re.compile(f"[{HIGH}-\U0010ffff]")
@@ -217,7 +219,7 @@ def _plain_pattern() -> re.Pattern:
             kinds[kind] += c
     letter, number = kinds["L"], kinds["N"]
     return re.compile(
-        rf" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{number}]+| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+"
+        rf" ?[{letter}]+|'(?:s|t|re|ve|m|ll|d)| ?[{number}]+| ?[^{WHITE}{letter}{number}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
     )
 
 
