@@ -3,19 +3,17 @@
 Fingerprints: one bit per position, set if more than half of the hashes of a
 text's word shingles have it.  Equal fingerprints are one node from then on.
 
-Search: of ``d + 1`` bit fields one is the same in two fingerprints that differ
-in at most ``d`` bits.  So each fingerprint is filed once per field, rotated so
-that the field leads.  Within a group that shares the field, codes are sorted by
-Gray rank, in which neighbours share long bit patterns.  Runs of codes form a
-node that holds the bits all of them share, nodes form larger nodes, and a search
-goes from the top, adds up the differences on newly shared bits, and leaves out a
-whole node once there are more than ``d``.
-
-Groups beyond ``MAX_NODE`` codes are cut along their leading bits, as deep as
-needed, into nodes of at most that size.  Two nodes meet only if the bits they
-share differ in at most ``d`` places; those partners are found by equality with
-the few patterns that near, so there is no product of nodes.  A task never holds
-more than two nodes, and gives back a spanning set of links, not all pairs.
+Search: the distinct codes are range-partitioned and sorted by Gray rank, in which
+neighbours share long bit patterns.  Every ``max_node`` codes in a row form a
+leaf, every ``FANOUT`` nodes in a row a node above; a node is the mask of the bits
+that all its codes share, and those bits.  The tree is then compared with itself
+from the root down, a join per level: where two nodes meet, the differences on the
+bits that both have newly settled are added to those counted above, and once
+there are more than ``d`` the whole pair of groups is left out.  What is left are
+pairs of leaves.  A leaf shares about as many bits as there are doublings of
+leaves, so it keeps in the order of ``log(leaves) ** d`` partners, whatever the
+number of codes, and never more than there are patterns within ``d`` bits.  A task
+compares two leaves at a time, and gives back a spanning set of their links.
 
 Components: alternating large-star and small-star rounds on the links, each
 written to the shared folder, until every node points at the smallest one.
@@ -23,12 +21,14 @@ written to the shared folder, until every node points at the smallest one.
 Defined results: NULL and empty texts have no words and fingerprint zero, linked
 like any other.  Rows whose id is NULL link but never name a component, which is
 NULL if it has no other.  Rows that repeat an id are fingerprinted one by one.
+Texts of any length are read whole, some thousand shingles at a time.  Other
+columns stay as they are, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations, islice
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +41,8 @@ from pairloom.llm.common import filled, materialize
 
 SEED = 42
 BITS = 64
-MAX_NODE = 4096
-FANOUT = 16
-DEPTH_STEP = 7
+MAX_NODE = 256
+FANOUT = 8
 CHUNK = 1 << 16
 
 
@@ -82,7 +81,7 @@ def fingerprints(docs: DataFrame, text_col: str, *keys: Column, shingle: int = 3
     return rows.mapInArrow(run, StructType([*fields, StructField("fp", LongType())]))
 
 
-# --- the index of one bounded group -----------------------------------------------------------------------------------
+# --- the tree ---------------------------------------------------------------------------------------------------------
 
 
 def gray_rank(code: Column) -> Column:
@@ -92,159 +91,123 @@ def gray_rank(code: Column) -> Column:
     return code
 
 
-class GrayIndex:
-    """Nodes over codes in Gray order; each level is (shared mask, shared bits, first child)."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # from the leaves up
-        ones = zeros = codes
-        while len(ones) > FANOUT:
-            at = np.arange(0, len(ones), FANOUT)
-            ones, zeros = np.bitwise_and.reduceat(ones, at), np.bitwise_or.reduceat(zeros, at)
-            self.levels.append((~(ones ^ zeros), ones))
-
-    def pairs(self, first: int, last: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
-        """All (query, code) places with codes that near, for the queries ``first:last``."""
-        query = np.arange(first, last)
-        top = len(self.levels[-1][0]) if self.levels else len(self.codes)
-        q, node = np.repeat(query, top), np.tile(np.arange(top), len(query))
-        seen, spent = np.zeros(len(q), np.uint64), np.zeros(len(q), np.uint8)
-        for depth in reversed(range(len(self.levels))):
-            mask, bits = self.levels[depth]
-            spent = spent + np.bitwise_count((self.codes[q] ^ bits[node]) & mask[node] & ~seen)
-            near = spent <= distance
-            q, node, spent = q[near], node[near], spent[near]
-            below = len(self.levels[depth - 1][0]) if depth else len(self.codes)
-            child = (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-            inside = child < below
-            q, seen, spent = (np.repeat(x, FANOUT)[inside] for x in (q, mask[node], spent))
-            node = child[inside]
-        spent = spent + np.bitwise_count((self.codes[q] ^ self.codes[node]) & ~seen)
-        near = (spent <= distance) & (q != node)
-        return q[near], node[near]
-
-
-def spanning_labels(codes: np.ndarray, distance: int) -> np.ndarray:
-    """For each place the smallest place it is linked with, over any number of links."""
-    n = len(codes)
-    index, root = GrayIndex(codes), np.arange(n)
-    step = max(FANOUT, (1 << 20) // n)
-    for first in range(0, n, step):
-        a, b = index.pairs(first, min(n, first + step), distance)
-        a, b = root[a], root[b]
-        while (differ := a != b).any():
-            a, b = a[differ], b[differ]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while (root[root] != root).any():
-                root = root[root]
-            a, b = root[a], root[b]
-    return root
-
-
-def _link_groups(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Spanning links of the groups of rows ``g, fp`` that come in order of ``g`` and Gray rank."""
-    held_g, held_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+LEAF_SCHEMA = "node long, ones long, zeros long, codes binary"
 
-    def links(g: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        cut = np.flatnonzero(np.diff(g)) + 1
-        starts, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(g)]))
-        two = starts[ends - starts == 2]
-        near = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
-        left, right = [fp[near]], [fp[near + 1]]
-        for s, e in zip(*(x[ends - starts > 2] for x in (starts, ends))):
-            codes = fp[s:e]
-            root = spanning_labels(codes, distance)
-            other = np.flatnonzero((root != np.arange(len(codes))) & (codes != codes[root]))
-            left.append(codes[other])
-            right.append(codes[root[other]])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)], names=["a", "b"]
-        )
 
-    for batch in batches:
-        g = np.concatenate((held_g, batch.column(0).to_numpy(zero_copy_only=False)))
-        fp = np.concatenate((held_fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-        if not len(g):
-            continue
-        whole = np.searchsorted(g, g[-1])  # the last group may go on in the next batch
-        if whole:
-            yield links(g[:whole], fp[:whole])
-        held_g, held_fp = g[whole:], fp[whole:]
-    if len(held_g):
-        yield links(held_g, held_fp)
+def leaves_of(codes: DataFrame, max_node: int = MAX_NODE) -> DataFrame:
+    """Leaves in Gray order: ``node`` (partition and place in it), the AND and OR of its codes, and the codes."""
+    spark = codes.sparkSession
+    # Signed order of the rank with its first bit turned is unsigned order of the rank.
+    ranked = codes.select("fp", gray_rank(F.col("fp")).bitwiseXOR(F.lit(-(1 << 63))).alias("rank"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ranked.repartitionByRange(parts, "rank").sortWithinPartitions("rank")
 
-
-# --- links over the whole table ---------------------------------------------------------------------------------------
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, place, part = np.empty(0, np.int64), 0, None
+        for batch in batches:
+            part = batch.column(1)[0].as_py() if part is None and batch.num_rows else part
+            held = np.concatenate((held, batch.column(0).to_numpy(zero_copy_only=False)))
+            whole = len(held) // max_node * max_node
+            yield leaves(held[:whole], part, place)
+            held, place = held[whole:], place + whole // max_node
+        if len(held):
+            yield leaves(held, part, place)
+
+    def leaves(fp: np.ndarray, part: int, place: int) -> pa.RecordBatch:
+        at = np.arange(0, len(fp), max_node)
+        ones, zeros = (np.bitwise_and.reduceat(fp, at), np.bitwise_or.reduceat(fp, at)) if len(fp) else (fp, fp)
+        node = ((part or 0) << 32) + place + np.arange(len(at))
+        blobs = pa.array([fp[i : i + max_node].tobytes() for i in at], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(ones), pa.array(zeros), blobs], names=["node", "ones", "zeros", "codes"])
+
+    return materialize(dealt.select("fp", F.spark_partition_id().cast("long").alias("part")).mapInArrow(run, LEAF_SCHEMA), "leaves")
+
+
+def tree_levels(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
+    """Tables ``node, above, mask, bits`` from the leaves to the root, which is node 0.
+
+    Within a partition every ``fanout`` nodes have one above them; once there is one
+    node to a partition, every ``fanout`` partitions have.
+    """
+    size = leaves.agg(F.max(F.col("node").bitwiseAND((1 << 32) - 1)), F.max(F.shiftright("node", 32))).first()
+    place, part = (size[0] or 0), (size[1] or 0)
+    level, out = leaves.select("node", "ones", "zeros"), []
+    while True:
+        if place:
+            above = (F.shiftright("node", 32) * (1 << 32) + F.floor(F.col("node").bitwiseAND((1 << 32) - 1) / fanout)).cast("long")
+        else:
+            above = (F.floor(F.shiftright("node", 32) / fanout) * (1 << 32)).cast("long")
+        mask = F.bitwise_not(F.col("ones").bitwiseXOR(F.col("zeros")))
+        out.append(level.select("node", above.alias("above"), mask.alias("mask"), F.col("ones").alias("bits")))
+        if not place and not part:
+            return out
+        level = level.groupBy(above.alias("node")).agg(F.bit_and("ones").alias("ones"), F.bit_or("zeros").alias("zeros"))
+        place, part = (place // fanout, part) if place else (0, part // fanout)
+
+
+def near_leaves(levels: list[DataFrame], distance: int, report: list[dict] | None = None) -> DataFrame:
+    """Pairs ``x, y`` of leaves, ``x`` not behind ``y``, that may hold near codes.
+
+    With ``report`` the nodes of each level, and the pairs met and left out there, are counted into it.
+    """
+    top = levels[-1]
+    pairs = top.select(F.col("node").alias("x"), F.col("node").alias("y"), F.col("mask").alias("seen"), F.lit(0).alias("spent"))
+    for level in reversed(levels[:-1]):
+        one = level.select(F.col("node").alias("x"), F.col("above").alias("_ax"), F.col("mask").alias("_mx"), F.col("bits").alias("_bx"))
+        two = level.select(F.col("node").alias("y"), F.col("above").alias("_ay"), F.col("mask").alias("_my"), F.col("bits").alias("_by"))
+        above = pairs.select(F.col("x").alias("_px"), F.col("y").alias("_py"), "seen", "spent")
+        met = above.join(one, F.col("_px") == F.col("_ax")).join(two, (F.col("_py") == F.col("_ay")) & (F.col("x") <= F.col("y")))
+        both = F.col("_mx").bitwiseAND(F.col("_my"))
+        new = F.bit_count(F.col("_bx").bitwiseXOR(F.col("_by")).bitwiseAND(both).bitwiseAND(F.bitwise_not("seen")))
+        counted = met.select("x", "y", both.alias("seen"), (F.col("spent") + new).alias("spent"))
+        pairs = counted.where(F.col("spent") <= distance)
+        if report is not None:
+            pairs = materialize(pairs, "node-pairs")
+            report.append({"nodes": level.count(), "met": counted.count(), "kept": pairs.count()})
+    return pairs.select("x", "y")
+
+
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` places the smallest place it is linked with, over any number of links ``a, b``."""
+    root = np.arange(n)
+    while (differ := a != b).any():
+        a, b = a[differ], b[differ]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+    return root
 
 
-def _fields(distance: int) -> list[tuple[int, int]]:
-    """(offset, width) of ``distance + 1`` fields that cover all bits."""
-    edges = [BITS * i // (distance + 1) for i in range(distance + 2)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def leaf_links(one: np.ndarray, two: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between codes of two leaves, or within one, that are near; enough to span all of them."""
+    differ = (one[:, None] ^ two[None, :]).view(np.uint64)  # of signed numbers the count is that of the absolute value
+    a, b = np.nonzero(np.bitwise_count(differ) <= distance)
+    if len(a) <= len(one) + len(two):
+        return one[a], two[b]
+    codes = np.concatenate((one, two))
+    root = spanning(a, b + len(one), len(codes))
+    other = np.flatnonzero(root != np.arange(len(codes)))
+    return codes[other], codes[root[other]]
 
 
-def _prefix(depth: int) -> Column:
-    return F.shiftrightunsigned("rot", BITS - depth)
+def near_links(codes: DataFrame, distance: int, max_node: int = MAX_NODE, report: list[dict] | None = None) -> DataFrame:
+    """Links ``a, b`` between the distinct ``fp`` of a table, enough to span all that are near."""
+    leaves = leaves_of(codes, max_node)
+    pairs = materialize(near_leaves(tree_levels(leaves), distance, report), "leaf-pairs")
+    held = leaves.select("node", "codes")
+    met = pairs.join(held.withColumnsRenamed({"node": "x", "codes": "one"}), "x").join(held.withColumnsRenamed({"node": "y", "codes": "two"}), "y")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                leaf_links(*(np.frombuffer(c.as_buffer(), np.int64) for c in row), distance) for row in zip(batch.column(0), batch.column(1))
+            ]
+            left, right = (np.concatenate([f[i] for f in found] or [np.empty(0, np.int64)]) for i in (0, 1))
+            differ = left != right
+            yield pa.RecordBatch.from_arrays([pa.array(left[differ]), pa.array(right[differ])], names=["a", "b"])
 
-def near_links(codes: DataFrame, distance: int, max_node: int = MAX_NODE) -> DataFrame:
-    """Links ``a, b`` between the distinct ``fp`` of a table, enough to span all that are near."""
-    filed = None
-    for r, (offset, width) in enumerate(_fields(distance)):
-        rot = F.col("fp") if not offset else F.shiftleft("fp", offset).bitwiseOR(F.shiftrightunsigned("fp", BITS - offset))
-        one = codes.select(F.lit(r).alias("r"), rot.alias("rot"), "fp").withColumn("field", _prefix(width))
-        filed = one if filed is None else filed.union(one)
-    sizes = filed.groupBy("r", "field").count()
-    large = materialize(sizes.where(F.col("count") > max_node).select("r", "field"), "large-groups")
-    group = F.xxhash64("r", "field")
-    small = filed.join(large, ["r", "field"], "left_anti").select(group.alias("g"), "fp", "rot")
-    tasks = small
-    if not large.isEmpty():
-        tasks = small.union(_split(materialize(filed.join(large, ["r", "field"]), "large-codes"), distance, max_node))
-    ordered = tasks.select("g", "fp", gray_rank(F.col("rot")).alias("rank")).repartition("g").sortWithinPartitions("g", "rank")
-    schema = "a long, b long"
-    return ordered.select("g", "fp").mapInArrow(lambda batches: _link_groups(batches, distance), schema)
-
-
-def _split(codes: DataFrame, distance: int, max_node: int) -> DataFrame:
-    """Codes of large groups in nodes of bounded size: each node alone, and with each partner."""
-    width = min(w for _, w in _fields(distance))
-    depths = sorted({BITS, *range(width + DEPTH_STEP, BITS, DEPTH_STEP)})
-    rest, nodes = codes, None
-    for depth in depths:
-        cut = rest.withColumn("prefix", _prefix(depth))
-        sizes = cut.groupBy("r", "prefix").agg(F.count("*").alias("n"))
-        done = cut.join(sizes.where(F.col("n") <= max_node).drop("n"), ["r", "prefix"]).withColumn("depth", F.lit(depth))
-        done = materialize(done.select("r", "depth", "prefix", "field", "rot", "fp"), f"nodes-{depth}")
-        nodes = done if nodes is None else nodes.union(done)
-        rest = materialize(cut.join(sizes.where(F.col("n") > max_node).drop("n"), ["r", "prefix"]).select(codes.columns), f"rest-{depth}")
-        if rest.isEmpty():
-            break
-    node_id = F.xxhash64("r", "depth", "prefix")
-    named = nodes.withColumn("node", node_id)
-    leaves = named.select("r", "depth", "prefix", "field", "node").distinct()
-    # Patterns at each depth that lie within the distance of a node's own, its field being the same.
-    near = None
-    for depth in depths:
-        free = depth - width
-        masks = [0, *(sum(1 << i for i in c) for k in range(1, distance + 1) for c in combinations(range(free), k))]
-        at = leaves.where(F.col("depth") >= depth).select(
-            "r", "field", F.col("node").alias("from"), F.call_function("shiftrightunsigned", "prefix", F.col("depth") - depth).alias("own")
-        )
-        patterns = at.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks]))).select(
-            "r", "field", "from", F.lit(depth).alias("depth"), F.col("own").bitwiseXOR(F.col("mask")).alias("prefix")
-        )
-        near = patterns if near is None else near.union(patterns)
-    met = near.join(leaves, ["r", "field", "depth", "prefix"]).where(F.col("from") != F.col("node"))
-    pairs = met.select(F.least("from", "node").alias("x"), F.greatest("from", "node").alias("y")).distinct()
-    pairs = materialize(pairs, "node-pairs")
-    of_pair = F.xxhash64("x", "y").alias("g")
-    alone = named.select(F.col("node").alias("g"), "fp", "rot")
-    out = alone
-    for side in ("x", "y"):
-        out = out.union(named.join(pairs.withColumn("node", F.col(side)), "node").select(of_pair, "fp", "rot"))
-    return out
+    return met.select("one", "two").mapInArrow(run, "a long, b long")
 
 
 def star_components(links: DataFrame) -> DataFrame:
@@ -260,10 +223,11 @@ def star_components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark, turn = now, turn + 1
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Written first: a join of two plain tables can split the hub of a giant component.
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"low-{turn}")
         large_star = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = materialize(larger_first(large_star), f"large-star-{turn}")
-        low = edges.groupBy("a").agg(F.min("b").alias("m"))
+        low = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), f"low-{turn}")
         small_star = edges.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges = materialize(larger_first(small_star), f"small-star-{turn}")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -149,17 +150,59 @@ def test_near_links_span_all_components(spark, max_node, distance):
     assert [got[i] for i in range(len(codes))] == components(codes, distance)
 
 
-def test_gray_index_prunes_and_finds_all():
+def near_pairs(codes: np.ndarray, distance: int) -> set:
+    """All near pairs of sorted distinct codes, a block of rows at a time."""
+    out = set()
+    for at in range(0, len(codes), 500):
+        a, b = np.nonzero(np.bitwise_count((codes[at : at + 500, None] ^ codes[None, :]).view(np.uint64)) <= distance)
+        out |= {(int(codes[at + i]), int(codes[j])) for i, j in zip(a, b) if at + i < j}
+    return out
+
+
+def linked(pairs) -> dict:
+    """Smallest code reachable from each linked code."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in list(root)}
+
+
+def test_tree_prunes_and_spans_all(spark):
     rng = np.random.default_rng(7)
-    codes = np.unique(np.concatenate([rng.integers(0, 2**63, 3000, np.uint64), np.uint64(5) ^ (np.uint64(1) << np.arange(60, dtype=np.uint64))]))
-    rank = codes.copy()
+    codes = np.unique(np.concatenate([rng.integers(-(2**63), 2**63, 3000), np.int64(5) ^ (np.int64(1) << np.arange(60, dtype=np.int64))]))
+    df = spark.createDataFrame([(c,) for c in codes.tolist()], "fp long")
+    report: list = []
+    links = [tuple(r) for r in simhash.near_links(df, 2, 16, report).collect()]
+    near = near_pairs(codes, 2)
+    assert {(min(x), max(x)) for x in links} <= near
+    assert linked(links) == linked(near)
+    assert len(report) >= 3 and [r["nodes"] for r in report] == sorted(r["nodes"] for r in report)
+    assert sum(r["met"] - r["kept"] for r in report) > 0
+    assert report[-1]["kept"] < 0.5 * report[-1]["nodes"] * (report[-1]["nodes"] + 1) / 2  # of all pairs of leaves
+    leaves = simhash.leaves_of(df, 16).orderBy("node").collect()
+    listed = np.concatenate([np.frombuffer(r["codes"], np.int64) for r in leaves]).view(np.uint64)
     for shift in (1, 2, 4, 8, 16, 32):
-        rank ^= rank >> np.uint64(shift)
-    codes = codes[np.argsort(rank)]
-    a, b = simhash.GrayIndex(codes).pairs(0, len(codes), 2)
-    near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 2
-    np.fill_diagonal(near, False)
-    assert set(zip(a.tolist(), b.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(near))))
+        listed = listed ^ (listed >> np.uint64(shift))
+    assert (np.diff(listed.astype(object)) > 0).all() and len(listed) == len(codes)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables are absent")
+def test_tree_of_the_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(4)
+    codes = simhash.materialize(simhash.fingerprints(docs, "text").distinct(), "codes")
+    report: list = []
+    links = [tuple(r) for r in simhash.near_links(codes, 2, report=report).collect()]
+    listed = np.array(sorted(r[0] for r in codes.collect()), np.int64)
+    assert linked(links) == linked(near_pairs(listed, 2))
+    print("nodes and pairs of nodes on sf0.1:", report)
+    assert sum(r["nodes"] for r in report) > 40 and sum(r["met"] - r["kept"] for r in report) > 100
 
 
 # --- mixing -----------------------------------------------------------------------------------------------------------
