@@ -7,12 +7,19 @@ text that differs becomes a slot.  A wrapper grows with the shapes of a host's
 pages, not with their number or length.
 
 Every page takes part.  Each task folds the pages it reads into one wrapper per
-host; those are aligned two levels up, so that a host with a third of all pages is
-many small tasks.  The wrapper says which slots are the article: those in its main
-container, or, where no page of the host marks one, the slots of running text that
-are neither constant nor mostly links.  Menus, headers, footers, sidebars, notices,
-adverts, forms, comments of readers, scripts and styles are left out wherever they
-stand.  Then each page is read again along its host's wrapper.
+host; those are aligned in as many levels as there are powers of ``BLOCK`` tasks, so
+that a host with a third of all pages is many small tasks.
+
+The wrapper then says where the article is.  From its root it goes down to the one
+part of the page that holds most of the running text, as long as there is such a
+part: text that differs between pages and is not mostly links; names of articles
+count double, so they break ties.  That container's slots are the article.  Inside
+and outside of it, text that three or more pages of a host have in common is
+template, unless there is more of it than of text that differs.  A page that lacks
+the container falls back on elements named as articles, and then on its running
+text.  Menus, headers, footers, sidebars, notices, adverts, forms, comments of
+readers, scripts and styles are left out wherever they stand.  Then each page is
+read again along its host's wrapper.
 
 The slots of a host are joined to its pages; Spark broadcasts that table where its
 size on disk allows it, and otherwise joins by host, hot hosts split.
@@ -21,14 +28,19 @@ Defined results: NULL and empty pages give an empty text.  A NULL URL, or one
 without a host, belongs to the host with the empty name.  Unclosed tags end with
 what holds them, stray end tags are ignored, an unclosed script or comment takes
 the rest of the page.  Elements nested more than ``MAX_DEPTH`` deep are breaks in the
-last one above them; no text is lost.  Repeated rows are extracted alike.
+last one above them; no text is lost.  Pages of any length are read whole, in time
+that grows with their length.  Repeated rows are extracted alike; other columns
+stay, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import json
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from zlib import crc32
@@ -92,8 +104,18 @@ NAMING = ("class", "id", "role", "itemprop")
 OPEN, CLOSE, TEXT, BREAK, LEFT_OUT = range(5)
 # A wrapper node: name, pages seen in, optional, repeated, slot (None while constant), its text's checksum, characters, characters in links, children.
 NAME, SEEN, OPTIONAL, REPEATED, VARIES, SUM, CHARS, LINKED, KIDS = range(9)
-KINDS = ("article", "main", "content", "text")
+NAMED = ("article", "main", "content")
+KINDS = ("container", *NAMED, "text")
 MAX_DEPTH = 100
+# Elements that hold text, not parts of a page.
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table caption address".split())
+TITLES = frozenset("h1 h2".split())
+BOXES = frozenset("div section td center".split())
+HOLDS = "+"
+# Pages that must have the same text for it to be template, and aligned pairs that are compared one by one.
+TEMPLATE_PAGES = 3
+ALIGNED_PAIRS = 1 << 18
+BLOCK = 64
 
 
 def attributes_of(attributes: str) -> dict[str, str]:
@@ -126,7 +148,9 @@ def role_of(tag: str, attributes: str) -> tuple[str, bool, str]:
     values = attributes_of(attributes)
     named = [values[key] for key in values if key in NAMING and values[key]]
     words = {w for value in named for w in re.split(r"[\s_\-]+", value)}
-    label = "".join("." + re.sub(r"\d+", "#", value.strip()) for value in named)
+    # An id is a name of its own on each page, unless it is a word that says something.
+    telling = [v for key in values if key in NAMING and (v := values[key].strip()) and (key != "id" or v in CONTAINER_NAMES or v in DROPPED_NAMES)]
+    label = "".join("." + re.sub(r"\d+", "#", value) for value in telling)
     names = dropped_names(attributes)
     dropped = tag in DROPPED_TAGS or bool(names)
     if tag in ("article", "main"):
@@ -234,14 +258,37 @@ def visible(page: str) -> Iterator[tuple[int, str, bool]]:
         yield what, value, in_link
 
 
+def named(page: str) -> list[tuple[int, str, bool]]:
+    """The visible token stream with the names of elements in wrappers.
+
+    A box that holds elements has another name than one that holds text alone: they are not of one shape.
+    """
+    stream = list(visible(page))
+    filled_boxes: set[int] = set()
+    open_: list[int] = []
+    for place, (what, _, _) in enumerate(stream):
+        if what == OPEN:
+            if open_:
+                filled_boxes.add(open_[-1])
+            open_.append(place)
+        elif what == CLOSE:
+            open_.pop()
+    out = []
+    for place, (what, value, in_link) in enumerate(stream):
+        if what in (OPEN, LEFT_OUT):
+            tag, _, attributes = value.partition(" ")
+            value = role_of(tag, attributes)[0] + (HOLDS if tag in BOXES and place in filled_boxes else "")
+        out.append((what, value, in_link))
+    return out
+
+
 def shape(page: str) -> list:
     """The page as a wrapper of its own, parts that are left out without what they hold."""
     root = ["", 1, 0, 0, 0, 0, 0, 0, []]
     stack = [root]
-    for what, value, in_link in visible(page):
+    for what, value, in_link in named(page):
         if what in (OPEN, LEFT_OUT):
-            tag, _, attributes = value.partition(" ")
-            node = [role_of(tag, attributes)[0], 1, 0, 0, 0, 0, 0, 0, []]
+            node = [value, 1, 0, 0, 0, 0, 0, 0, []]
             stack[-1][KIDS].append(node)
             if what == OPEN:
                 stack.append(node)
@@ -297,7 +344,58 @@ def merge(mine: list, other: list, same_page: bool = False) -> None:
 
 
 def align(a: list, b: list) -> list[tuple]:
-    """Longest common subsequence of two sequences of elements by name, with the rest between."""
+    """Two sequences of elements matched by name, in order, with the rest between.
+
+    Equal starts and ends are matched first, then the names that occur once in
+    either; what lies between two of those is matched by its longest common
+    subsequence, or in one pass where it is too long for that.
+    """
+    x, y = [n[NAME] for n in a], [n[NAME] for n in b]
+    first, last = 0, 0
+    short = min(len(a), len(b))
+    while first < short and x[first] == y[first]:
+        first += 1
+    while last < short - first and x[-1 - last] == y[-1 - last]:
+        last += 1
+    out, i, j = list(zip(a[:first], b[:first])), first, first
+    ends = len(a) - last, len(b) - last
+    for p, q in [*_anchors(x, y, first, *ends), ends]:
+        out += _gap(a[i:p], b[j:q])
+        if (p, q) != ends:
+            out.append((a[p], b[q]))
+        i, j = p + 1, q + 1
+    return out + list(zip(a[ends[0] :], b[ends[1] :]))
+
+
+def _anchors(x: list[str], y: list[str], first: int, end_x: int, end_y: int) -> list[tuple[int, int]]:
+    """Places of names that occur once in either sequence, as many as can be had in order."""
+    if (end_x - first) * (end_y - first) <= ALIGNED_PAIRS:
+        return []
+    once_x, once_y = (
+        {name: at for at, name in enumerate(seq[first:end], first) if counts[name] == 1}
+        for seq, end in ((x, end_x), (y, end_y))
+        for counts in [Counter(seq[first:end])]
+    )
+    pairs = sorted((at, once_y[name]) for name, at in once_x.items() if name in once_y)
+    tails: list[int] = []  # place in ``pairs`` of the smallest end of an ascending run of each length
+    values: list[int] = []
+    back: list[int] = []
+    for n, (_, q) in enumerate(pairs):
+        k = bisect_left(values, q)
+        back.append(tails[k - 1] if k else -1)
+        tails[k : k + 1], values[k : k + 1] = [n], [q]
+    out, n = [], tails[-1] if tails else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = back[n]
+    return out[::-1]
+
+
+def _gap(a: list, b: list) -> list[tuple]:
+    if not a or not b:
+        return [(x, None) for x in a] + [(None, y) for y in b]
+    if len(a) * len(b) > ALIGNED_PAIRS:
+        return _one_pass(a, b)
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in reversed(range(len(a))):
         for j in reversed(range(len(b))):
@@ -317,47 +415,103 @@ def align(a: list, b: list) -> list[tuple]:
     return out + [(x, None) for x in a[i:]] + [(None, y) for y in b[j:]]
 
 
+def _one_pass(a: list, b: list) -> list[tuple]:
+    """Each element of ``a`` with the next one of its name in ``b``."""
+    places: dict[str, list[int]] = {}
+    for at, node in enumerate(b):
+        places.setdefault(node[NAME], []).append(at)
+    out, j = [], 0
+    for node in a:
+        own = places.get(node[NAME], [])
+        k = bisect_left(own, j)
+        # A match far ahead would leave what lies between it unmatched.
+        if k < len(own) and own[k] - j <= 1000:
+            out += [(None, y) for y in b[j : own[k]]]
+            out.append((node, b[own[k]]))
+            j = own[k] + 1
+        else:
+            out.append((node, None))
+    return out + [(None, y) for y in b[j:]]
+
+
+class Part:
+    """A wrapper node on its path, with what counts of the text below it."""
+
+    def __init__(self, node: list, path: str, kind: str, in_header: bool):
+        self.node, self.path = node, path
+        name = node[NAME].removesuffix(HOLDS)
+        self.tag = name.partition(".")[0]
+        own = role_of(self.tag, f'class="{name.partition(".")[2].replace(".", " ")}"')[2] if name else ""
+        self.named = bool(own)
+        self.kind = own if own and (not kind or NAMED.index(own) < NAMED.index(kind)) else kind
+        self.in_header = in_header or (self.tag == "header" and self.kind not in ("article", "main"))
+        self.kids = [Part(k, f"{path}/{k[NAME]}", self.kind, self.in_header) for k in node[KIDS]]
+        self.links = node[LINKED] * 2 > node[CHARS]
+        self.constant = node[SEEN] >= TEMPLATE_PAGES and not node[VARIES]
+
+    def running(self, template: bool) -> int:
+        """Characters of running text of the element itself."""
+        return 0 if self.in_header or self.links or (template and self.constant) else self.node[CHARS]
+
+    def weigh(self, template: bool) -> int:
+        self.weight = self.running(template) + sum(k.weigh(template) for k in self.kids)
+        self.titled = (self.tag in TITLES and self.weight > 0) or any(k.titled for k in self.kids)
+        return self.weight
+
+    def every(self) -> Iterator[Part]:
+        yield self
+        for k in self.kids:
+            yield from k.every()
+
+
+def container(root: Part, template: bool) -> Part:
+    """The one part of the page that holds most of the running text, as far down as there is one."""
+    at = root
+    while at.kids and at.kind not in ("article", "main") and not at.running(template):
+        best = max(at.kids, key=lambda k: k.weight * (2 if k.named else 1))
+        rest = [k for k in at.kids if k is not best and k.weight]
+        direct = any(k.tag in TEXT_BLOCKS or k.titled for k in rest)
+        most = best.weight * (4 if best.named else 2) > at.weight
+        if best.tag in TEXT_BLOCKS or best.node[REPEATED] or not most or (direct and not best.named):
+            break
+        at = best
+    return at
+
+
 def slots(wrapper: list) -> dict[str, str]:
-    """The article's slots: path of each, and the kind of container that makes it one."""
+    """The article's slots: path of each, and what makes it one."""
+    root = Part(wrapper, "", "", False)
+    texts = [p for p in root.every() if p.running(False)]
+    constant = sum(p.node[CHARS] for p in texts if p.constant)
+    template = sum(p.node[CHARS] for p in texts if not p.constant) > constant
+    root.weigh(template)
+    chosen = container(root, template)
+    bare = chosen.tag in ("", "html", "body")
     found: dict[str, str] = {}
-    any_slot = _any_slot(wrapper)
-
-    def walk(node: list, path: str, kind: str, in_header: bool) -> None:
-        name = node[NAME]
-        tag = name.partition(".")[0]
-        _, _, own = role_of(tag, f'class="{name.partition(".")[2].replace(".", " ")}"') if name else ("", False, "")
-        if own and (not kind or KINDS.index(own) < KINDS.index(kind)):
-            kind = own
-        in_header = in_header or (tag == "header" and kind not in ("article", "main"))
-        if node[CHARS] and not in_header:
-            template = node[SEEN] >= 3 and not node[VARIES] and any_slot
-            if kind:
-                found[path] = kind
-            elif not template and node[LINKED] * 2 <= node[CHARS]:
-                found[path] = "text"
-        for child in node[KIDS]:
-            walk(child, f"{path}/{child[NAME]}", kind, in_header)
-
-    walk(wrapper, "", "", False)
+    inside = {id(p) for p in chosen.every()}
+    for p in root.every():
+        if not p.node[CHARS] or p.in_header or (template and p.constant):
+            continue
+        if id(p) in inside and not bare:
+            found[p.path] = "container"
+        elif p.kind:
+            found[p.path] = p.kind
+        elif not p.links:
+            found[p.path] = "text"
     return found
 
 
-def _any_slot(node: list) -> bool:
-    return bool(node[VARIES]) or any(_any_slot(k) for k in node[KIDS])
-
-
 def extract(page: str, article: dict[str, str]) -> str:
     """Text of the slots of the best kind of container that the page has."""
     parts: dict[str, list[str]] = {}
     stack = [""]
-    for what, value, _ in visible(page):
+    for what, value, _ in named(page):
         if what == TEXT:
             if kind := article.get(stack[-1]):
                 parts.setdefault(kind, []).append(html.unescape(value))
             continue
         if what == OPEN:
-            tag, _, attributes = value.partition(" ")
-            stack.append(f"{stack[-1]}/{role_of(tag, attributes)[0]}")
+            stack.append(f"{stack[-1]}/{value}")
         elif what == CLOSE:
             stack.pop()
         for texts in parts.values():
@@ -389,7 +543,7 @@ def infer_wrappers(pages: DataFrame, host_col: str = "host", html_col: str = "ht
         def hand_on(known: dict[str, list]) -> pa.RecordBatch:
             values = [json.dumps(w) for w in known.values()]
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(known), pa.string()), pa.array([part // 64] * len(known), pa.int64()), pa.array(values, pa.string())],
+                [pa.array(list(known), pa.string()), pa.array([part // BLOCK] * len(known), pa.int64()), pa.array(values, pa.string())],
                 names=["host", "block", "wrapper"],
             )
 
@@ -407,11 +561,15 @@ def infer_wrappers(pages: DataFrame, host_col: str = "host", html_col: str = "ht
         yield hand_on(known)
 
     def join_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "wrapper": [_merged(rows.sort_values("wrapper"))]})
+        return pd.DataFrame({"host": [key[0]], "block": [key[1] // BLOCK], "wrapper": [_merged(rows.sort_values("wrapper"))]})
 
     parts = pages.select(host_col, html_col).mapInArrow(run, "host string, block long, wrapper string")
-    blocks = parts.groupBy("host", "block").applyInPandas(join_block, "host string, wrapper string")
-    return blocks.groupBy("host").applyInPandas(join_block, "host string, wrapper string")
+    blocks = math.ceil(pages.rdd.getNumPartitions() / BLOCK)
+    while blocks > 1:
+        parts = parts.groupBy("host", "block").applyInPandas(join_block, "host string, block long, wrapper string")
+        blocks = math.ceil(blocks / BLOCK)
+    parts = parts.groupBy("host", "block").applyInPandas(join_block, "host string, block long, wrapper string")
+    return parts.groupBy("host").applyInPandas(lambda key, rows: join_block((key[0], 0), rows)[["host", "wrapper"]], "host string, wrapper string")
 
 
 @lru_cache(maxsize=4096)
