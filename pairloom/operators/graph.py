@@ -19,7 +19,6 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pairloom.functions.vectors import as_double
 from pairloom.operators.sampling import bottom_k_per_key
-from pairloom.operators.skew import HOT_ROWS, hot_keys, salted_join
 from pairloom.session import materialize
 
 # Vectors compared in one task are bounded by two chunks of so many bytes, and
@@ -268,13 +267,13 @@ def softmax_weights(edges: DataFrame, score: str) -> DataFrame:
 
 
 def cross_side_mean(rel: DataFrame, entities: DataFrame, other_emb: DataFrame, entity: str, other: str,
-                    dim: int, vec: str = "emb", label: str = "label", hot_rows: int = HOT_ROWS) -> DataFrame:
+                    dim: int, vec: str = "emb", label: str = "label") -> DataFrame:
     """Mean vector of the known partners of each entity, from training positives only.
 
     Entities without such a partner get the zero vector.
     """
     known = rel.where((F.col("split") == "train") & (F.col(label) == 1)).select(entity, other).distinct()
-    joined = salted_join(known, other_emb.select(other, vec), other, [entity], hot_keys(known, other, hot_rows))
+    joined = known.join(other_emb.select(other, vec), other)
     means = joined.groupBy(entity).agg(vector_mean(F.col(vec)).alias("profile"))
     zero = F.array_repeat(F.lit(0.0), dim)
     return entities.select(entity).join(means, entity, "left").withColumn("profile", F.coalesce("profile", zero))
@@ -303,15 +302,14 @@ def mean_pool(tokens: DataFrame, ident: str = "id", pos: str = "pos", vec: str =
 
 
 def pair_vectors(rel: DataFrame, left_emb: DataFrame, right_emb: DataFrame, left: str = "drug_id",
-                 right: str = "prot_id", vec: str = "emb", key: Sequence[str] = ("row_key",),
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Attach the vectors of both entities and their concatenation ``features``."""
-    out = salted_join(
-        rel, left_emb.select(left, F.col(vec).alias("left_emb")), left, list(key), hot_keys(rel, left, hot_rows)
-    )
-    out = salted_join(
-        out, right_emb.select(right, F.col(vec).alias("right_emb")), right, list(key), hot_keys(rel, right, hot_rows)
-    )
+                 right: str = "prot_id", vec: str = "emb", key: Sequence[str] = ("row_key",)) -> DataFrame:
+    """Attach the vectors of both entities and their concatenation ``features``.
+
+    The relation meets the vectors side by side, so what a join moves is ids and,
+    from the second one on, one vector; a hot entity's rows are split at runtime.
+    """
+    out = rel.join(left_emb.select(left, F.col(vec).alias("left_emb")), left)
+    out = out.join(right_emb.select(right, F.col(vec).alias("right_emb")), right)
     return out.withColumn("features", F.concat("left_emb", "right_emb"))
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.scalars import numbered_id
 from pairloom.operators.sampling import global_position
-from pairloom.operators.skew import HOT_ROWS, hot_keys, salted_join
 
 # First occurrences are numbered block by block of this many row numbers.
 ROW_BLOCK = 1 << 20
@@ -36,14 +35,14 @@ def entity_table(df: DataFrame, value: str, row: str, ident: str, prefix: str) -
 
 
 def to_tables(df: DataFrame, left_value: str = "smiles", right_value: str = "sequence",
-              row: str = "source_row", label: str = "label", hot_rows: int = HOT_ROWS) -> Tables:
+              row: str = "source_row", label: str = "label") -> Tables:
     """Normalise accepted records; duplicates stay in the relation."""
     left = entity_table(df, left_value, row, "drug_id", "drug")
     right = entity_table(df, right_value, row, "prot_id", "protein")
     relation = df
     for table, value in ((left, left_value), (right, right_value)):
         lookup = table.drop("first_row")
-        relation = salted_join(relation, lookup, value, [row], hot_keys(df, value, hot_rows))
+        relation = relation.join(lookup, value)
     relation = relation.select("drug_id", "prot_id", label, row)
     return Tables(left.drop("first_row"), right.drop("first_row"), relation)
 
@@ -62,12 +61,10 @@ def join_by_position(a: DataFrame, b: DataFrame, pos: str = "source_row") -> Dat
     return a.join(b, pos)
 
 
-def translate_ids(rel: DataFrame, column: str, mapping: DataFrame, source: str, target: str,
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+def translate_ids(rel: DataFrame, column: str, mapping: DataFrame, source: str, target: str) -> DataFrame:
     """Replace an id by its counterpart; unknown ids become NULL."""
     lookup = mapping.select(F.col(source).alias(column), F.col(target).alias("_to"))
-    others = [c for c in rel.columns if c != column] or [column]
-    out = salted_join(rel, lookup, column, others, hot_keys(rel, column, hot_rows), "left")
+    out = rel.join(lookup, column, "left")
     return out.select(*[F.col("_to").alias(c) if c == column else F.col(c) for c in rel.columns])
 
 

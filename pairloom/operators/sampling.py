@@ -2,10 +2,10 @@
 
 The random order of a table is the order of a keyed hash of its row key.  A
 sample of exactly ``k`` rows is every row below the hash of the ``k``-th one, and
-as many of the rows with just that hash as are still missing.  The hash is found
-digit by digit: a histogram over the leading hex digits, then one over further
-digits of the single bucket each cut falls in, until that bucket is small enough
-to be ranked.  The rows themselves are only ever filtered, never moved.
+as many of the rows with just that hash as are still missing.  One scan draws a
+quantile sketch of the hashes of each group, which brackets every cut; the next
+one counts the rows below each bracket and ranks those inside.  The rows
+themselves are only ever filtered, never moved.
 """
 
 from __future__ import annotations
@@ -15,16 +15,21 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from pairloom.session import materialize
 
-# Hex digits that each step of the search adds, and rows that one task may rank.
-STEP_DIGITS = 3
+# Size of a sketch, and the share of rows by which its ranks may be off; both as
+# published for this kind of sketch, with some margin.
+SKETCH_K = 1024
+SKETCH_ERROR = 0.007
+# A sketch is asked for the values at these many even steps of rank.
+RANK_STEPS = 512
+# Rows inside a bracket that one task may rank; larger brackets get a sketch of their own.
 RANKED_ROWS = 1 << 20
-HASH_DIGITS = 44
-# Leading hex digits that make the blocks of a global position.
+# Leading hex digits that fit a BIGINT, and those that make the blocks of a global position.
+VALUE_DIGITS = 15
 BLOCK_DIGITS = 4
 
 
@@ -33,14 +38,14 @@ class HashCuts:
     """The last hash that is still inside, per group and name.
 
     ``table`` has a row per group: its values, then ``_cut_<name>`` and how many of
-    the rows with that very hash are inside, ``_take_<name>``.  A missing group or
-    NULL means that nothing is inside.  ``tied`` tells whether a cut falls among
-    rows of equal hash.
+    the rows with that very hash are inside, ``_take_<name>``; without groups it is
+    a single row of values.  A missing group or NULL means that nothing is inside.
+    ``tied`` tells whether a cut falls among rows of equal hash.
     """
 
     groups: tuple[str, ...]
     names: tuple[str, ...]
-    table: DataFrame
+    table: DataFrame | Row
     tied: bool
     candidate: Column
 
@@ -52,18 +57,40 @@ class HashCuts:
         """
         own = [f"_{kind}_{n}" for n in self.names for kind in ("cut", "take")]
         if not self.groups:
-            only = self.table.first()
-            out = df.withColumns({c: F.lit(only[c]).cast(self.table.schema[c].dataType) for c in own})
+            out = df.withColumns({c: F.lit(self.table[c]).cast("string" if c.startswith("_cut") else "bigint") for c in own})
         else:
             named = self.table.select(*[F.col(g).alias(f"_g_{g}") for g in self.groups], *own)
             same = reduce(lambda x, y: x & y, [df[g].eqNullSafe(named[f"_g_{g}"]) for g in self.groups])
             out = df.join(named, same, "left").drop(*[f"_g_{g}" for g in self.groups])
         if not self.tied:
             return out.withColumn("_tie", F.lit(1))
-        marked = out.withColumn("_at", F.coalesce(self.candidate & reduce(or_, [h == F.col(f"_cut_{n}") for n in self.names]), F.lit(False)))
-        order = Window.partitionBy(*self.groups, h).orderBy(F.xxhash64(*df.columns))
-        edge = marked.where("_at").withColumn("_tie", F.row_number().over(order))
-        return marked.where("NOT _at").withColumn("_tie", F.lit(1)).unionByName(edge).drop("_at")
+        return self._deal_ties(out, h, df.columns)
+
+    def _deal_ties(self, out: DataFrame, h: Column, columns: Sequence[str]) -> DataFrame:
+        """Choose among the rows that share the hash of a cut by a hash of all their columns.
+
+        They are written with a number each, which tells rows apart that are alike in
+        all columns, and are cut again: any number of rows may share a hash.
+        """
+        at = [h == F.col(f"_cut_{n}") for n in self.names]
+        marked = out.withColumn("_at", F.coalesce(self.candidate & reduce(or_, at), F.lit(False)))
+        whole = F.lpad(F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in columns])), 16, "0")
+        edge = marked.where("_at").withColumns({"_hash": h, "_own": F.concat(whole, F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))})
+        edge = materialize(edge, "tied-rows")
+        wanted = {f"_w_{n}": F.when(F.col("_hash") == F.col(f"_cut_{n}"), F.col(f"_take_{n}")).otherwise(0) for n in self.names}
+        again = hash_cuts(
+            edge, F.col("_own"), {n: F.col(f"_w_{n}") / F.col("total") for n in self.names}, [*self.groups, "_hash"], totals=wanted
+        )
+        last = again.table.select(
+            *[F.col(g).alias(f"_e_{g}") for g in (*self.groups, "_hash")], *[F.col(f"_cut_{n}").alias(f"_last_{n}") for n in self.names]
+        )
+        same = reduce(lambda x, y: x & y, [edge[g].eqNullSafe(last[f"_e_{g}"]) for g in (*self.groups, "_hash")])
+        dealt = edge.join(last, same, "left").withColumn("_tie", F.coalesce(
+            F.least(*[F.when(F.col("_own") <= F.col(f"_last_{n}"), F.col(f"_take_{n}")) for n in self.names], F.lit(None).cast("bigint")),
+            F.greatest(*[F.col(f"_take_{n}") for n in self.names], F.lit(0).cast("bigint")) + 1,
+        ))
+        rest = marked.where("NOT _at").withColumn("_tie", F.lit(1).cast("bigint"))
+        return rest.drop("_at").unionByName(dealt.select(*[c for c in rest.columns if c != "_at"]))
 
     def drop(self, df: DataFrame) -> DataFrame:
         return df.drop("_tie", *[f"_{kind}_{n}" for n in self.names for kind in ("cut", "take")])
@@ -90,74 +117,141 @@ def hash_cuts(
     of it, a rank of zero none.  ``where`` limits the candidates; ``totals``
     still sums over every row.  Keys may repeat, and groups be as many as rows.
     """
-    g = list(group_cols)
+    g, names = list(group_cols), list(ranks)
     candidate = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
     base = df.select(
         *g,
         h.alias("_h"),
-        candidate.alias("_in"),
+        F.when(candidate, F.rpad(F.substring(h, 1, VALUE_DIGITS), VALUE_DIGITS, "0")).alias("_v"),
         *[c.alias(f"_t_{n}") for n, c in (totals or {}).items()],
     )
-    digits = STEP_DIGITS
-    histogram = base.groupBy(*g, F.substring("_h", 1, digits).alias("_p")).agg(
-        F.count_if("_in").alias("_n"),
+    counted = base.groupBy(*g).agg(
+        F.kll_sketch_agg_bigint(_number("_v"), F.lit(SKETCH_K)).alias("_sketch"),
+        F.count("_v").alias("total"),
         *[F.sum(f"_t_{n}").alias(n) for n in (totals or {})],
     )
-    whole = Window.partitionBy(*g)
-    counted = histogram.select(
-        *g, "_p", "_n", F.sum("_n").over(whole).alias("total"), *[F.sum(n).over(whole).alias(n) for n in (totals or {})]
+    needs = counted.select(*g, "_sketch", "total", *[F.least(r.cast("bigint"), F.col("total")).alias(f"_need_{n}") for n, r in ranks.items()])
+    margin = 1.0
+    brackets = None
+    while True:
+        if brackets is None:
+            own = [c for n in names for c in _bracket(n, F.col("_sketch"), F.col("total"), F.col(f"_need_{n}"), margin)]
+            brackets = _settled(needs.select(*g, *own), g, "cut-brackets")
+        rows = _attached(base.where("_v IS NOT NULL").select(*g, "_h", "_v"), brackets, g)
+        largest = _largest(brackets, names)
+        if largest > RANKED_ROWS:
+            finer = _settled(_finer(rows, g, names), g, "cut-brackets")
+            if _largest(finer, names) < 0.9 * largest:
+                brackets = finer
+                continue
+        table = _settled(_ranked(rows, g, names), g, "cuts")
+        lost = reduce(or_, [F.col(f"_lost_{n}") for n in names])
+        state = table.agg(F.max("_tied"), F.max(lost)).first() if g else (table["_tied"], any(table[f"_lost_{n}"] for n in names))
+        if not state[1]:
+            return HashCuts(tuple(g), tuple(names), table, bool(state[0]), candidate)
+        margin, brackets = 8 * margin, None  # a bracket missed its cut, which happens to one in some thousands
+
+
+def _number(digits: str) -> Column:
+    return F.conv(F.col(digits), 16, 10).cast("bigint")
+
+
+def _settled(table: DataFrame, g: list[str], name: str) -> DataFrame | Row:
+    """A table of groups, written once; without groups its only row."""
+    return materialize(table, name) if g else table.first()
+
+
+def _largest(brackets: DataFrame | Row, names: list[str]) -> int:
+    if isinstance(brackets, Row):
+        return max((brackets[f"_rows_{n}"] or 0 for n in names), default=0)
+    return brackets.agg(F.max(F.greatest(*[F.col(f"_rows_{n}") for n in names], F.lit(0).cast("bigint")))).first()[0] or 0
+
+
+def _bracket(name: str, sketch: Column, total: Column, need: Column, margin: float) -> list[Column]:
+    """Values between which the ``need``-th one lies, and about how many rows lie there too."""
+    at = F.try_divide(need, total)
+    off = SKETCH_ERROR * margin + F.try_divide(F.lit(1.0), total)
+    some = (need >= 1) & (total >= 1)
+    steps = F.split(F.lit(",".join(str(i / RANK_STEPS) for i in range(RANK_STEPS + 1))), ",").cast("array<double>")
+    values = F.kll_sketch_get_quantile_bigint(sketch, steps)
+    step_of = F.greatest(F.floor((at - off) * RANK_STEPS), F.lit(0)), F.least(F.ceil((at + off) * RANK_STEPS), F.lit(RANK_STEPS))
+    low, high = (F.when(some, F.get(values, s.cast("int"))) for s in step_of)
+    return [
+        need.alias(f"_need_{name}"),
+        # Beyond its first and last rank a sketch may have dropped a value.
+        F.when(at - off <= 0, F.lit("0" * VALUE_DIGITS)).otherwise(_digits(low)).alias(f"_low_{name}"),
+        F.when(at + off >= 1, F.lit("F" * VALUE_DIGITS)).otherwise(_digits(high)).alias(f"_high_{name}"),
+        F.ceil(F.least(2 * off + 2.0 / RANK_STEPS, F.lit(1.0)) * total).cast("bigint").alias(f"_rows_{name}"),
+    ]
+
+
+def _digits(value: Column) -> Column:
+    return F.lower(F.lpad(F.hex(value), VALUE_DIGITS, "0"))
+
+
+def _attached(rows: DataFrame, table: DataFrame | Row, g: list[str]) -> DataFrame:
+    """Rows beside the values of their group: literals where there are no groups."""
+    if not g:
+        kinds = {"_need": "bigint", "_rows": "bigint"}
+        return rows.withColumns({c: F.lit(v).cast(kinds.get(c[:5], "string")) for c, v in table.asDict().items()})
+    named = table.withColumnsRenamed({c: f"_e_{c}" for c in g})
+    same = reduce(lambda x, y: x & y, [rows[c].eqNullSafe(named[f"_e_{c}"]) for c in g])
+    return rows.join(named, same).drop(*[f"_e_{c}" for c in g])
+
+
+def _finer(rows: DataFrame, g: list[str], names: list[str]) -> DataFrame:
+    """Brackets inside of brackets."""
+    v = F.lower("_v")
+    inside = {n: (v >= F.col(f"_low_{n}")) & (v <= F.lower(f"_high_{n}")) for n in names}
+    parts = rows.groupBy(*g).agg(*[c for n in names for c in (
+        F.max(f"_need_{n}").alias(f"_all_{n}"),
+        F.count_if(v < F.col(f"_low_{n}")).alias(f"_below_{n}"),
+        F.count_if(inside[n]).alias(f"_in_{n}"),
+        F.kll_sketch_agg_bigint(F.when(inside[n], _number("_v")), F.lit(SKETCH_K)).alias(f"_sketch_{n}"),
+    )])
+    bounds = []
+    for n in names:
+        need = F.col(f"_all_{n}") - F.col(f"_below_{n}")
+        own = _bracket(n, F.col(f"_sketch_{n}"), F.col(f"_in_{n}"), need, 1.0)
+        bounds += [F.col(f"_all_{n}").alias(f"_need_{n}"), *own[1:]]
+    return parts.select(*g, *bounds)
+
+
+def _ranked(rows: DataFrame, g: list[str], names: list[str]) -> DataFrame:
+    """Per group and name the hash of the cut, how many rows with it are inside, and whether the bracket missed it.
+
+    Rows inside a bracket are counted by hash; all others by where they lie between
+    the brackets, which leaves a few counts per task.
+    """
+    v = F.lower("_v")
+    low, high = {n: F.col(f"_low_{n}") for n in names}, {n: F.lower(f"_high_{n}") for n in names}
+    place = [F.when(c, 1 << i).otherwise(0) for i, c in enumerate([*[v >= low[n] for n in names], *[v > high[n] for n in names]])]
+    inside = reduce(or_, [F.coalesce((v >= low[n]) & (v <= high[n]), F.lit(False)) for n in names])
+    bounds = [f"_{kind}_{n}" for n in names for kind in ("need", "low", "high")]
+    counted = rows.groupBy(*g, reduce(lambda x, y: x + y, place).alias("_place"), F.when(inside, F.col("_h")).alias("_key")).agg(
+        F.count("*").alias("_n"), F.min(v).alias("_v"), *[F.max(b).alias(b) for b in bounds]
     )
     wanted = F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), F.least(rank.cast("bigint"), F.col("total")).alias("rank"))
-        for name, rank in ranks.items()
+        F.struct(F.lit(i).alias("i"), F.col(f"_need_{n}").alias("need"), low[n].alias("low"), high[n].alias("high")) for i, n in enumerate(names)
     ]))
-    named = counted.select(*g, "_p", "_n", wanted.alias("_c")).select(
-        *g, "_p", "_n", F.col("_c.name").alias("_name"), F.col("_c.rank").alias("_need")
-    )
-    edges = materialize(_edges(named, [*g, "_name"]), "cut-buckets")
-    while digits < HASH_DIGITS and (edges.agg(F.max("_n")).first()[0] or 0) > RANKED_ROWS:
-        finer = _inside(base, edges, g, digits).groupBy(*g, "_name", "_need", F.substring("_h", 1, digits + STEP_DIGITS).alias("_p"))
-        digits += STEP_DIGITS
-        edges = materialize(_edges(finer.agg(F.count("*").alias("_n")), [*g, "_name"]), "cut-buckets")
-
-    order = Window.partitionBy(*g, "_name").orderBy("_h")
-    ranked = _inside(base, edges, g, digits).select(
-        *g, "_name", "_h", "_need",
-        F.row_number().over(order).alias("_rn"),
-        F.rank().over(order).alias("_first"),
-        F.count("*").over(Window.partitionBy(*g, "_name", "_h")).alias("_equal"),
-    )
-    last = ranked.where("_rn = _need").withColumn("_take", F.col("_rn") - F.col("_first") + 1)
-    of = {n: F.col("_name") == n for n in ranks}
-    table = last.groupBy(*g).agg(
-        *[F.max(F.when(is_it, F.col("_h"))).alias(f"_cut_{n}") for n, is_it in of.items()],
-        *[F.max(F.when(is_it, F.col("_take"))).alias(f"_take_{n}") for n, is_it in of.items()],
-        F.max(F.col("_take") < F.col("_equal")).alias("_tied"),
+    own = F.when((F.col("_v") >= F.col("_c.low")), F.col("_key"))
+    each = counted.select(*g, "_key", "_v", "_n", wanted.alias("_c")).where("_c.need >= 1 AND _v <= _c.high").select(
+        *g, F.col("_c.i").alias("_i"), F.col("_c.need").alias("_need"), own.alias("_key"), "_n"
     )
-    table = materialize(table, "cuts")
-    tied = bool(table.agg(F.max("_tied")).first()[0])
-    return HashCuts(tuple(g), tuple(ranks), table, tied, candidate)
-
-
-def _edges(buckets: DataFrame, keys: list[str]) -> DataFrame:
-    """The bucket each cut falls in, with the rows it still needs of it."""
-    running = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    # Rows below a bracket are ahead of those in it, in any order.
+    running = Window.partitionBy(*g, "_i").orderBy(F.col("_key").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     before = F.col("_cum") - F.col("_n")
-    return (
-        buckets.withColumn("_cum", F.sum("_n").over(running))
-        .where((F.col("_need") > before) & (F.col("_need") <= F.col("_cum")))
-        .select(*keys, "_p", "_n", (F.col("_need") - before).alias("_need"))
+    found = each.withColumn("_cum", F.sum("_n").over(running)).withColumn("_hit", (F.col("_need") > before) & (F.col("_need") <= F.col("_cum")))
+    hit = {n: F.col("_hit") & (F.col("_i") == i) & F.col("_key").isNotNull() for i, n in enumerate(names)}
+    take = F.col("_need") - before
+    return found.groupBy(*g).agg(
+        *[F.max(F.when(hit[n], F.col("_key"))).alias(f"_cut_{n}") for n in names],
+        *[F.max(F.when(hit[n], take)).alias(f"_take_{n}") for n in names],
+        *[((F.count_if(F.col("_i") == i) > 0) & (F.count_if(hit[n]) == 0)).alias(f"_lost_{n}") for i, n in enumerate(names)],
+        F.max(F.coalesce(F.col("_hit") & (take < F.col("_n")), F.lit(False))).alias("_tied"),
     )
 
 
-def _inside(base: DataFrame, edges: DataFrame, g: list[str], digits: int) -> DataFrame:
-    """Candidate rows of the buckets that cuts fall in, once per cut."""
-    rows = base.where("_in").select(*g, "_h", F.substring("_h", 1, digits).alias("_p"))
-    named = edges.select(*[F.col(c).alias(f"_e_{c}") for c in [*g, "_p"]], "_name", "_need")
-    same = reduce(lambda x, y: x & y, [rows[c].eqNullSafe(named[f"_e_{c}"]) for c in [*g, "_p"]])
-    return rows.join(named, same).select(*g, "_h", "_name", "_need")
-
-
 def sample_exact(df: DataFrame, k: int, h: Column, group_cols: Sequence[str] = ()) -> DataFrame:
     """``k`` rows per group without replacement (all of a smaller group)."""
     cuts = hash_cuts(df, h, {"k": F.lit(k)}, group_cols)

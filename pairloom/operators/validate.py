@@ -61,7 +61,7 @@ def with_reason(df: DataFrame) -> DataFrame:
 def accepted(checked: DataFrame) -> DataFrame:
     """Good records with an integer ``label``."""
     good = checked.where(F.col("reason").isNull())
-    return good.withColumn("label", F.col("activation").cast("int")).drop("activation", "reason")
+    return good.withColumn("label", F.col("activation").try_cast("int")).drop("activation", "reason")
 
 
 def rejected(checked: DataFrame) -> DataFrame:

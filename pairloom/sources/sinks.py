@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from pairloom.operators.normalize import Tables
 from pairloom.operators.validate import reason_counts, rejected
@@ -89,21 +97,73 @@ def write_similarity(edges: DataFrame, path: str) -> str:
     return path
 
 
-def write_run_logs(spark: SparkSession, logs: DataFrame, root: str) -> str:
-    """``<dataset>/<scenario_key>/<run_tag>.log`` for each row, with its ``log``.
+class RunLogs(DataSource):
+    """Files named by their rows: tasks write them, the driver commits or undoes.
 
-    Spark writes the logs; the driver gives each its name, one step per run.
+    Each row ``dataset, scenario_key, run_tag, log`` is a file
+    ``<dataset>/<scenario_key>/<run_tag>.log``.  A task writes a file beside its
+    place and moves it there, so a reader sees whole logs only and a task that is
+    run again writes the same ones.
     """
-    keys = ["dataset", "scenario_key", "run_tag"]
-    raw = f"{root.rstrip('/')}-parts"
-    logs.select(*keys, "log").repartition(*keys).write.partitionBy(*keys).text(raw)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    files = hadoop.Path(raw).getFileSystem(spark._jsc.hadoopConfiguration())
-    for part in files.globStatus(hadoop.Path(f"{raw}/*=*/*=*/*=*/part-*")):
-        dataset, scenario, tag = [x.split("=", 1)[1] for x in part.getPath().getParent().toString().split("/")[-3:]]
-        files.mkdirs(hadoop.Path(f"{root}/{dataset}/{scenario}"))
-        files.rename(part.getPath(), hadoop.Path(f"{root}/{dataset}/{scenario}/{tag}.log"))
-    files.delete(hadoop.Path(raw), True)
+
+    @classmethod
+    def name(cls) -> str:
+        return "run_logs"
+
+    def writer(self, schema: StructType, overwrite: bool) -> RunLogWriter:
+        return RunLogWriter(self.options["path"])
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[str]
+
+
+class RunLogWriter(DataSourceWriter):
+    def __init__(self, root: str):
+        self.root = root
+
+    def _folder(self):
+        from pyarrow import fs
+
+        at = self.root if "://" in self.root or self.root.startswith("file:") else f"file://{os.path.abspath(self.root)}"
+        return fs.FileSystem.from_uri(re.sub("^file:/(?=[^/])", "file:///", at))
+
+    def write(self, iterator: Iterator[Row]) -> Written:
+        files, root = self._folder()
+        done = []
+        for dataset, scenario, tag, log in iterator:
+            folder = f"{root}/{_file_name(dataset)}/{_file_name(scenario)}"
+            files.create_dir(folder, recursive=True)
+            place, beside = f"{folder}/{_file_name(tag)}.log", f"{folder}/.{uuid.uuid4().hex}.part"
+            with files.open_output_stream(beside) as out:
+                out.write((log or "").encode())
+            files.move(beside, place)
+            done.append(place)
+        return Written(done)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        files, root = self._folder()
+        files.create_dir(root, recursive=True)
+        with files.open_output_stream(f"{root}/_SUCCESS"):
+            pass
+
+    def abort(self, messages: list[Written | None]) -> None:
+        files, _ = self._folder()
+        for place in (p for m in messages if m for p in m.files):
+            files.delete_file(place)
+
+
+def _file_name(part: str | None) -> str:
+    if not part or "/" in part or part.startswith("."):
+        raise ValueError(f"{part!r} cannot name a log")
+    return part
+
+
+def write_run_logs(spark: SparkSession, logs: DataFrame, root: str) -> str:
+    """``<dataset>/<scenario_key>/<run_tag>.log`` for each row, with its ``log``."""
+    spark.dataSource.register(RunLogs)
+    logs.select("dataset", "scenario_key", "run_tag", "log").write.format(RunLogs.name()).mode("append").save(root)
     return root
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions import vectors as V
-from pairloom.operators import graph, similarity, splits
+from pairloom.operators import graph, neighbours, similarity, splits
 from queries import query
 from queries import bindings as B
 
@@ -200,3 +200,20 @@ def mean_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = B.table(spark, sf_dir, "documents").count()
     out = similarity.mean_similarity(_similar(spark, sf_dir), n)
     return out.select(F.round("mean_similarity", 8).alias("mean_similarity"))
+
+
+@query()
+def mean_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean over all pairs of documents, however unlike, with its standard error."""
+    docs = B.table(spark, sf_dir, "documents")
+    return similarity.mean_similarity_all(similarity.shingles(docs, "doc_id", "text"))
+
+
+@query(f"""WITH {B.EMB_SQL}, d AS (SELECT a.id AS src, b.id AS dst, list_distance(a.emb, b.emb) AS distance
+  FROM emb a JOIN emb b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM d)
+SELECT src, dst, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest other vectors of every vector, without a distance limit."""
+    out = neighbours.knn_exact(B.embeddings(spark, sf_dir), k=5)
+    return out.withColumn("distance", F.round("distance", 6))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import scalars as S
 from pairloom.operators import coldfull, normalize, splits, summary, validate
-from pairloom.plans import adapters, features, modeling, pipelines
+from pairloom.plans import adapters, features, modeling, pipelines, scenarios
 from pairloom.session import materialize, scratch_path
 from pairloom.sources import readers, sinks
 from queries import query
@@ -18,7 +18,7 @@ from queries import bindings as B
 
 # --- adapters ---------------------------------------------------------------
 
-LINKED_SQL = """raw AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40),
+LINKED_SQL = """raw AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_returnflag = 'R'),
 lefts AS (SELECT CAST(p_partkey AS VARCHAR) AS drug_id FROM part WHERE length(repeat(p_name || '.', 3)) BETWEEN 30 AND 510
   AND p_partkey IN (SELECT p FROM raw)),
 rights AS (SELECT 'S' || s_suppkey AS prot_id FROM supplier WHERE s_suppkey IN (SELECT s FROM raw)),
@@ -39,7 +39,7 @@ def _link_config(spark: SparkSession, sf_dir: str) -> dict:
         F.concat(F.lit("db|S"), F.col("s_suppkey").cast("string"), F.lit("|x")).alias("prot_id"), F.col("s_name").alias("seq")
     )
     sinks.write_fasta(proteins, f"{root}/{fasta}")
-    known = B.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity > 40").select(
+    known = B.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(
         F.col("l_partkey").alias("DrugBank ID"), F.concat(F.lit("S"), "l_suppkey").alias("UniProt ID")
     )
     sinks.write_delimited(known, f"{root}/{links}", ",")
@@ -54,8 +54,7 @@ SELECT ratio, split, positives, CASE WHEN ratio = 0 THEN cells - positives ELSE
 def link_dataset_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cold-drug splits with 1, 20 and all (0) negatives per positive; ``linked`` counts negatives that are links.
 
-    The links are rare on purpose, returned lines of more than 40 pieces: with all
-    returned lines the small tables lack 20 free cells to a positive.
+    Links are all returned lines; where a split lacks 20 free cells to a positive, it gets all it has.
     """
     data = adapters.load(spark, _link_config(spark, sf_dir))
     known = data.relation.select("drug_id", "prot_id").withColumn("known", F.lit(1))
@@ -102,13 +101,13 @@ def _with_header(header: str, batches):
 
 
 FOLD_SQL = """f AS (SELECT CAST(l_partkey AS VARCHAR) AS d, CAST(l_suppkey AS VARCHAR) AS t, CAST(l_returnflag = 'R' AS INTEGER) AS label,
-  CAST(l_orderkey % 10 AS INTEGER) AS fold, l_linenumber = 3 AS test FROM lineitem WHERE l_quantity > 30)"""
+  CAST(l_orderkey % 10 AS INTEGER) AS fold, l_linenumber = 3 AS test FROM lineitem)"""
 
 
-def _write_folds(spark: SparkSession, sf_dir: str, path: str, drug, target, rows: str = "l_quantity > 30") -> None:
+def _write_folds(spark: SparkSession, sf_dir: str, path: str, drug, target) -> None:
     role = F.when(F.col("l_linenumber") == 3, "test").otherwise("train")
     name = F.concat(role, F.lit("_fold_"), (F.col("l_orderkey") % 10 + 1).cast("string"), F.lit(".csv"))
-    lines = B.table(spark, sf_dir, "lineitem").where(rows).select(
+    lines = B.table(spark, sf_dir, "lineitem").select(
         drug.alias("head"), F.lit("x").alias("relation"), target.alias("tail"),
         (F.col("l_returnflag") == "R").cast("int").alias("label"), name.alias("file"),
     )
@@ -186,19 +185,25 @@ def split_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {B.TRIPLETS_SQL}, a AS (SELECT source_row, CAST(activation AS INTEGER) AS label FROM checked WHERE reason IS NULL),
-{B.split_sql('s', 'a', 'source_row')}
+{B.split_sql('s', 'a', 'source_row')},
+held AS (SELECT label, source_row * 7919 % 997 AS p FROM a JOIN s USING (source_row) WHERE split = 'test'),
+ranked AS (SELECT label, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS rk,
+  count(*) FILTER (label = 1) OVER () AS n1, count(*) FILTER (label = 0) OVER () AS n0 FROM held)
 SELECT 'orders' AS dataset, (SELECT count(*) FROM checked) AS samples, (SELECT count(*) FROM checked WHERE reason IS NOT NULL) AS excluded,
-  count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'test') AS test, count(*) FILTER (label = 1) AS positives, 0.5 AS auc
+  count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'test') AS test, count(*) FILTER (label = 1) AS positives,
+  (SELECT round((sum(rk) FILTER (label = 1) - n1 * (n1 + 1) / 2) / nullif(n1 * n0, 0), 6) FROM ranked GROUP BY n1, n0) AS auc
 FROM a JOIN s USING (source_row)""")
 def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested report of a run, written as JSON and read back."""
     checked = validate.with_reason(B.triplets(spark, sf_dir))
     rel = normalize.to_tables(validate.accepted(checked)).relation
     split = splits.split_rows(rel, F.col("source_row").cast("string"), seed=B.SEED)
-    metrics = spark.createDataFrame([(0.5,)], "auc double")
+    scored = rel.select("source_row", F.col("label").alias("true_label"), (F.col("source_row") * 7919 % 997 / 997.0).alias("probability_active"))
+    scored = scored.withColumn("predicted_label", S.decide(F.col("probability_active"), 0.5))
+    metrics = modeling.evaluate(summary.held_out(scored, split)).drop("note")
     path = sinks.write_report(pipelines.report("orders", checked, split, metrics), scratch_path(spark, "report"))
     read = spark.read.json(path)
-    return read.select("dataset", "rows.samples", "rows.excluded", "splits.train", "splits.test", "splits.positives", "metrics.auc")
+    return read.select("dataset", "rows.samples", "rows.excluded", "splits.train", "splits.test", "splits.positives", F.round("metrics.auc", 6).alias("auc"))
 
 
 @query("SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS width, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
@@ -348,7 +353,11 @@ def model_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("note", F.lit(note))
 
 
-@query(f"""WITH {PREPARED_SQL} SELECT CAST(count(*) AS BIGINT) AS judged, CAST(count(*) FILTER (label = 1) AS BIGINT) AS positives, TRUE AS auc_in_range FROM kept""")
+@query(f"""WITH {PREPARED_SQL}, {B.RECORDS_SQL}, r AS (SELECT CAST(source_row AS VARCHAR) AS row_key, label FROM records),
+{B.row_split_sql('s', 'r')}, {B.balance_sql('b', 's', 1)},
+t AS (SELECT count(*) AS trained, count(*) FILTER (label = 1) AS trained_positives, count(*) FILTER (split = 'val') AS validated FROM b WHERE split <> 'test')
+SELECT CAST(count(*) AS BIGINT) AS judged, CAST(count(*) FILTER (label = 1) AS BIGINT) AS positives, TRUE AS auc_in_range, trained, trained_positives, validated
+FROM kept CROSS JOIN t GROUP BY trained, trained_positives, validated""")
 def cross_dataset_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on one dataset, judge every row of another."""
     test = _prepared(spark, sf_dir)
@@ -359,14 +368,19 @@ def cross_dataset_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("judged"), (F.col("tp") + F.col("fn")).alias("positives"),
         F.col("auc").between(0.0, 1.0).alias("auc_in_range"),
     )
-    return m.select(F.col("judged").cast("bigint").alias("judged"), F.col("positives").cast("bigint").alias("positives"), "auc_in_range")
+    judged = m.select(F.col("judged").cast("bigint").alias("judged"), F.col("positives").cast("bigint").alias("positives"), "auc_in_range")
+    rows = result.training.agg(
+        F.sum("rows").alias("trained"), F.sum(F.when(F.col("label") == 1, F.col("rows"))).alias("trained_positives"),
+        F.coalesce(F.sum(F.when(F.col("split") == "val", F.col("rows"))), F.lit(0)).alias("validated"),
+    )
+    return judged.withColumn("_k", F.lit(0)).join(rows.withColumn("_k", F.lit(0)), "_k").drop("_k")
 
 
 @query(f"""WITH {PREPARED_SQL} SELECT CAST(range AS INTEGER) AS run, (SELECT count(*) FROM kept) AS judged, 10 AS runs FROM range(10)""")
 def scenario_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalogued scenario with supplied folds: trained on all rows of each of the ten, judged on a custom dataset."""
     root = scratch_path(spark, "scenario")
-    _write_folds(spark, sf_dir, f"{root}/f", F.col("l_partkey"), F.col("l_suppkey"), "true")
+    _write_folds(spark, sf_dir, f"{root}/f", F.col("l_partkey"), F.col("l_suppkey"))
     drugs, prots = adapters.FOLD_ENTITY_FILES
     sinks.write_delimited(B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("drug_id"), F.col("p_name").alias("smiles")), f"{root}/{drugs}", ",")
     sinks.write_delimited(B.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pro_ids"), F.col("s_name").alias("seq")), f"{root}/{prots}", ",")
@@ -405,3 +419,65 @@ def featurize_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = features.featurize(B.table(spark, sf_dir, "part"), "p_partkey", "p_name", _md5_encoder)
     long = out.select("id", F.posexplode("emb").alias("i", "x"))
     return long.where("x > 0").select("id", "i", F.col("x").cast("double").alias("x"))
+
+
+# --- the catalogue, all reasons, all layer sets --------------------------------
+
+PLANNED_SQL = "planned AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{s.dataset}', '{s.scenario_key}', {int(s.strategy == 'folds')})" for s in scenarios.SCENARIOS
+) + f") AS v(dataset, scenario_key, folds)), runs AS (SELECT dataset, scenario_key, CASE WHEN folds = 1 THEN '{scenarios.FOLD_RUN_TAG}' ELSE 'seed_' || s END AS run_tag " \
+    "FROM planned CROSS JOIN (SELECT unnest(range(42, 52)) AS s) WHERE folds = 0 OR s = 42)"
+
+
+@query(f"""WITH {PLANNED_SQL}, ended AS (SELECT DISTINCT CASE c_custkey % 2 WHEN 0 THEN 'drugbank' ELSE 'bindingDB' END AS dataset,
+  ['{"', '".join(k for k, *_ in scenarios.ENTITY_SCENARIOS)}'][CAST(c_custkey // 2 % 8 + 1 AS INTEGER)] AS scenario_key, 'seed_' || (42 + c_custkey // 16 % 10) AS run_tag
+  FROM customer WHERE c_acctbal > 5000)
+SELECT dataset, scenario_key, count(*) AS planned, count(*) - count(e.run_tag) AS pending FROM runs LEFT JOIN ended e USING (dataset, scenario_key, run_tag) GROUP BY ALL""")
+def planned_and_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every planned run of the catalogue, and those without a complete log; a log is that of one customer."""
+    c, keys = F.col("c_custkey"), F.array(*[F.lit(k) for k, *_ in scenarios.ENTITY_SCENARIOS])
+    logs = B.table(spark, sf_dir, "customer").select(
+        F.when(c % 2 == 0, "drugbank").otherwise("bindingDB").alias("dataset"),
+        F.get(keys, (F.floor(c / 2) % 8).cast("int")).alias("scenario_key"),
+        F.concat(F.lit("seed_"), 42 + F.floor(c / 16) % 10).alias("run_tag"),
+        F.when(F.col("c_acctbal") > 5000, F.concat(F.lit("Test AUC: 0.7\nTest AUPRC: 0."), c.cast("string"))).otherwise("Test AUC: 0.5").alias("log"),
+    )
+    best = logs.groupBy("dataset", "scenario_key", "run_tag").agg(F.max("log").alias("log"))
+    planned = scenarios.planned_runs(spark)
+    named = {f"{s.dataset}:{s.scenario_key}": scenarios.find(f"{s.dataset}:{s.scenario_key}").best_param_name for s in scenarios.select()}
+    assert len(named) == len(scenarios.SCENARIOS)
+    pending = scenarios.to_run(planned, best).select("dataset", "scenario_key", "run_tag", F.lit(1).alias("open"))
+    return planned.join(pending, ["dataset", "scenario_key", "run_tag"], "left").groupBy("dataset", "scenario_key").agg(
+        F.count("*").alias("planned"), F.coalesce(F.sum("open"), F.lit(0)).alias("pending")
+    )
+
+
+@query(f"""WITH r AS (SELECT p_partkey % 9 AS k, p_size AS g FROM part)
+SELECT g, CASE k WHEN 0 THEN 'empty_smiles' WHEN 1 THEN 'empty_sequence' WHEN 2 THEN 'invalid_activation' WHEN 3 THEN 'non_canonical_sequence'
+  WHEN 4 THEN 'smiles_too_long' WHEN 5 THEN 'sequence_too_long' END AS reason, count(*) AS rows FROM r GROUP BY ALL""")
+def all_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as records of which six in nine fail, each by another of the six reasons."""
+    k = F.col("p_partkey") % 9
+    raw = B.table(spark, sf_dir, "part").select(
+        F.col("p_size").alias("g"),
+        F.when(k == 0, "  ").when(k == 4, F.rpad(F.col("p_name"), S.MAX_SMILES + 1, "C")).otherwise(F.col("p_name")).alias("smiles"),
+        F.when(k == 1, "").when(k == 3, "ACDB1").when(k == 5, F.repeat(F.lit("A"), S.MAX_SEQUENCE + 1)).otherwise("ACDEF").alias("sequence"),
+        F.when(k == 2, "2").otherwise("1").alias("activation"),
+    )
+    return validate.with_reason(raw).groupBy("g", "reason").agg(F.count("*").alias("rows"))
+
+
+@query(f"""WITH {PREPARED_SQL}, c AS (SELECT unnest(['8', '4', '8-4']) AS layers)
+SELECT layers, (SELECT count(*) FROM kept) AS scored, TRUE AS in_range, TRUE AS ordered FROM c""")
+def layer_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All narrowing layer sets of a size list, fitted at once and ranked by validation AUC; each scores every row."""
+    prepared = _prepared(spark, sf_dir)
+    pairs = pipelines.scoring_pairs(prepared.tables.relation, *pipelines.embed(prepared.tables, _plain_vectors, _plain_vectors))
+    split = materialize(splits.split_rows(pairs, F.col("source_row").cast("string"), (0.7, 0.1, 0.2), B.SEED), "layer-pairs")
+    trials = modeling.search(split, "mlp", {"layers": modeling.layer_combinations([8, 4], 1, 2)}, seed=B.SEED)
+    ordered = all(a.val_auc >= b.val_auc for a, b in zip(trials, trials[1:]))
+    scored = modeling.score_runs({i: t.model for i, t in enumerate(trials)}, split)
+    names = F.array(*[F.lit("-".join(map(str, t.params["layers"]))) for t in trials])
+    return scored.groupBy("run").agg(F.count("*").alias("scored"), F.bool_and(F.col("probability_active").between(0.0, 1.0)).alias("in_range")).select(
+        F.get(names, F.col("run")).alias("layers"), "scored", "in_range", F.lit(ordered).alias("ordered")
+    )

@@ -244,3 +244,18 @@ def export_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metric_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = export(spark, sf_dir)
     return rows.select("source_row", "predicted_label", S.metric_text(F.col("probability_active")).alias("p"))
+
+
+@query("""WITH i AS (SELECT l_orderkey AS g, CAST(l_returnflag = 'R' AS INTEGER) AS x,
+  2 * rank() OVER w + count(*) OVER (PARTITION BY l_orderkey, l_extendedprice) - 1 AS t, row_number() OVER w - 1 AS i,
+  count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_extendedprice)),
+s AS (SELECT g, n, sum(x) AS n1, sum(t * x) AS w FROM i GROUP BY g, n),
+m AS (SELECT *, unnest(range(CAST(pow(2, n) AS BIGINT))) AS m FROM s WHERE n1 BETWEEN 1 AND n - 1),
+c AS (SELECT m.g, m.m, any_value(m.n1) AS n1, any_value(m.n) AS n, any_value(m.w) AS w, sum(t) AS v, count(*) AS k
+  FROM m JOIN i ON i.g = m.g AND (m.m >> i.i) & 1 = 1 GROUP BY m.g, m.m),
+p AS (SELECT g, (count(*) FILTER (abs(v - n1 * (n + 1)) >= abs(w - n1 * (n + 1))))::DOUBLE / count(*) AS p FROM c WHERE k = n1 GROUP BY g)
+SELECT g AS l_orderkey, (w / 2.0)::DOUBLE AS w, CAST(n1 AS INTEGER) AS n1, CAST(n - n1 AS INTEGER) AS n2, round(p, 9) AS p_value FROM s LEFT JOIN p USING (g)""")
+def rank_sum_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned against other lines of each order by price, by the exact law of the rank sum."""
+    lines = B.table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_returnflag") == "R").cast("int").alias("x"), "l_extendedprice")
+    return metrics.rank_sum_exact(lines, "x", "l_extendedprice", ["l_orderkey"]).withColumn("p_value", F.round("p_value", 9))

@@ -79,7 +79,7 @@ def test_keep_first_and_translate(spark):
 def test_tables_number_in_order_of_appearance(spark):
     rows = [(i, f"s{(i * 7) % 5}", f"q{i % 3}", i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "source_row long, smiles string, sequence string, label int")
-    tables = normalize.to_tables(df, hot_rows=5)
+    tables = normalize.to_tables(df)
     seen = list(dict.fromkeys(r[1] for r in rows))
     assert {r["smiles"]: r["drug_id"] for r in tables.left.collect()} == {v: f"drug_{i:06d}" for i, v in enumerate(seen)}
     relation = {r["source_row"]: (r["drug_id"], r["prot_id"], r["label"]) for r in tables.relation.collect()}

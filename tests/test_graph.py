@@ -114,7 +114,7 @@ def test_profiles_read_training_positives_only(spark):
     emb = spark.createDataFrame([("t1", [1.0, 0.0]), ("t2", [3.0, 2.0]), ("t3", [9.0, 9.0])], "prot_id string, emb array<float>")
     drugs = spark.createDataFrame([("d1",), ("d2",)], "drug_id string")
     schema = "drug_id string, prot_id string, label int, split string"
-    out = graph.cross_side_mean(spark.createDataFrame(rel, schema), drugs, emb, "drug_id", "prot_id", 2, hot_rows=1)
+    out = graph.cross_side_mean(spark.createDataFrame(rel, schema), drugs, emb, "drug_id", "prot_id", 2)
     expected = {"d1": [2.0, 1.0], "d2": [0.0, 0.0]}
     assert {r["drug_id"]: r["profile"] for r in out.collect()} == expected
     flipped = [(d, t, 1 - y if s == "test" else y, s) for d, t, y, s in rel]
@@ -132,7 +132,7 @@ def test_similar_sets_equal_brute_force(spark, threshold):
     base = ["".join(rng.choice(list("abcd é"), 60)) for _ in range(12)]
     texts = base + [t[:k] + "zz" + t[k:] for t in base for k in (5, 30)] + [base[0]] * 8 + ["ab", ""]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    found_sets = similarity.similar_sets(similarity.shingles(df, "id", "text", 3), "id", threshold, hot_rows=20)
+    found_sets = similarity.similar_sets(similarity.shingles(df, "id", "text", 3), "id", threshold)
     grams = sets_of(texts)
     reps = {}
     for i, g in enumerate(grams):

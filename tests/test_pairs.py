@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.operators import linksplit, pairs
-from pairloom.operators.skew import hot_keys, salted_join
 
 
 def setup(spark, m=13, n=40, seed=1, density=0.2):
@@ -116,17 +115,3 @@ def test_submatrix(spark):
     sub = pairs.submatrix(links, left, right, 4, 10).collect()
     assert len({r["drug_id"] for r in sub}) <= 4 and len({r["prot_id"] for r in sub}) <= 10
     assert sub
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
-def test_salted_join_equals_plain_join(spark, how):
-    facts = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"))
-    facts = facts.unionByName(spark.createDataFrame([(5000, None), (5001, 99)], "id long, k long"))
-    dim = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    hot = hot_keys(facts, "k", 300)
-    assert hot == [7]
-    got = salted_join(facts, dim, "k", ["id"], hot, how, salts=5)
-    expected = facts.join(dim, "k", how)
-    assert sorted(map(str, got.collect())) == sorted(map(str, expected.select(got.columns).collect()))
-    with pytest.raises(ValueError):
-        salted_join(facts, dim, "k", ["id"], hot, "right")
