@@ -15,7 +15,9 @@ Defined results: NULL counts as empty, and an empty text is scored like any othe
 Labels other than 0 and 1 and rows without a label teach nothing; of repeated
 labels the mean counts.  With no label at all every score is 0.5; with labels of
 one kind it is that kind.  A row whose id is NULL is never learned from and counts
-as held out.  Repeated rows are scored alike.
+as held out.  Repeated rows are scored alike.  Texts of any length are measured
+whole, on the order of a hundred bytes for each word of the longest.  Other columns
+of either table are not read; without documents there are no scores.
 """
 
 from __future__ import annotations

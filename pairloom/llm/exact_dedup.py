@@ -14,6 +14,8 @@ the map side, and a block that a third of all rows hold is one row per task.
 Defined results: NULL counts as empty; all empty texts are equal.  A NULL id is
 larger than any other.  Rows alike in id, length and normalised text are one
 document with several rows: each counts in ``group_size`` and one of them is kept.
+Texts of any length are named whole, block by block.  Other columns stay as they
+are in :func:`dedup`, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations

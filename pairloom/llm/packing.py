@@ -13,7 +13,9 @@ Pieces are then numbered within their length, in blocks over hash bits, and look
 up their run.  No document is ever moved with its text.
 
 Defined results: NULL counts as empty; an empty text is its separator.  Repeated
-rows are packed one by one.  The numbers of sequences are dense from 0.
+rows are packed one by one.  The numbers of sequences are dense from 0.  Texts of
+any length are encoded whole and cut into pieces, none is dropped; columns that are
+not named as keys are not read, and an empty table has no sequences.
 """
 
 from __future__ import annotations
