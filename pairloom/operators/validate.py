@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pairloom.functions import scalars as S
@@ -73,6 +73,24 @@ def reason_counts(checked: DataFrame) -> DataFrame:
     return rejected(checked).groupBy("reason").agg(F.count(F.lit(1)).alias("rows")).orderBy("reason")
 
 
+def counted(checked: DataFrame) -> tuple[DataFrame, Observation]:
+    """The checked rows, and what is seen of them as they go by: ``accepted`` and the rows per reason.
+
+    The counts are there once the rows have been written, without a second pass.
+    """
+    seen = Observation("checked rows")
+    counts = [F.count_if(F.col("reason").isNull()).alias("accepted"), *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS]]
+    return checked.observe(seen, *counts), seen
+
+
+def require_counted(counts: dict[str, int]) -> None:
+    """:func:`require_accepted` by counts."""
+    if not sum(counts.values()):
+        raise ValueError("no data rows were found")
+    if not counts["accepted"]:
+        raise ValueError("every row was rejected")
+
+
 def require_rows(df: DataFrame, message: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(message)

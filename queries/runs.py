@@ -326,7 +326,7 @@ def prepared_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     scoring = pipelines.scoring_pairs(rel, *pipelines.embed(prepared.tables, _plain_vectors, _plain_vectors))
     split = splits.split_rows(rel, F.col("source_row").cast("string"), seed=B.SEED)
     counts = [
-        prepared.checked.agg(F.count_if(F.expr("reason IS NULL")).alias("accepted"), F.count_if(F.expr("reason IS NOT NULL")).alias("excluded")),
+        spark.createDataFrame([(prepared.counts["accepted"], sum(n for r, n in prepared.counts.items() if r != "accepted"))], "accepted long, excluded long"),
         prepared.tables.left.agg(F.count_distinct("drug_id").alias("drugs")),
         summary.held_out(rel, split).agg(F.count("*").alias("held_out")),
         scoring.agg(F.max(F.size("features")).alias("width"), F.count("*").alias("scoring")),
