@@ -48,7 +48,7 @@ def test_weights_and_curve(spark):
     features = classifier.statistics(frame(spark, rows).repartition(4))
     model = classifier.learn(features, spark.createDataFrame(labels, "doc_id long, quality int"))
     size = classifier.FEATURES
-    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0))
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0))
     z = np.clip((x - model.mean) / model.scale, -classifier.CLIP, classifier.CLIP)
     waves = np.hstack([np.cos(z @ model.directions + model.phases) * math.sqrt(2 / size), np.ones((len(x), 1))])
 
