@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pairloom.functions.vectors import as_double
+from pairloom.operators.blocked import rounds_of_sums
 from pairloom.operators.sampling import bottom_k_per_key
 from pairloom.session import materialize
 
@@ -226,7 +227,7 @@ def with_isolated(edges: DataFrame, nodes: DataFrame, weight: str, ident: str =
 def normalised_sum(edges: DataFrame, emb: DataFrame, rounds: int = 1, ident: str = "id", vec: str = "emb") -> DataFrame:
     """``rounds`` of neighbour sums weighted by 1/sqrt(deg * deg), self included.
 
-    The edges are written once: degrees and every round read them.
+    The edges are written once for degrees and weights, and again in blocks for the rounds.
     """
     full = materialize(add_self_loops(symmetric(edges), emb, ident), "edges")
     degree = full.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).cast("double").alias("deg"))
@@ -235,11 +236,7 @@ def normalised_sum(edges: DataFrame, emb: DataFrame, rounds: int = 1, ident: str
         .join(degree.select(F.col("node").alias("dst"), F.col("deg").alias("_dd")), "dst")
         .select("src", "dst", (1 / F.sqrt(F.col("_ds") * F.col("_dd"))).alias("w"))
     )
-    weighted = materialize(weighted, "edge-weights")
-    current = emb.select(ident, vec)
-    for _ in range(rounds):
-        current = weighted_sum(weighted, current, "w", ident, vec)
-    return current
+    return rounds_of_sums(materialize(weighted, "edge-weights"), emb, rounds, "w", ident, vec)
 
 
 def weighted_sum(edges: DataFrame, emb: DataFrame, weight: str, ident: str = "id", vec: str = "emb") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions import vectors as V
-from pairloom.operators import graph, neighbours, similarity, splits
+from pairloom.operators import banded, graph, neighbours, similarity, splits
 from queries import query
 from queries import bindings as B
 
@@ -202,6 +202,33 @@ def mean_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.round("mean_similarity", 8).alias("mean_similarity"))
 
 
+LOW = 0.3
+
+
+def _shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.shingles(B.table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def shingle_jaccard_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between different texts down to a similarity where a prefix filter leaves everything over."""
+    return banded.similar_sets_banded(_shingled(spark, sf_dir), "doc_id", LOW).edges.withColumn("sim", F.round("sim", 6))
+
+
+@query(f"""WITH {SHINGLE_SQL.split('overlap AS')[0]}
+overlap AS (SELECT a.rep AS q, b.rep AS o, any_value(a.size) AS nq, any_value(b.size) AS n_o, count(*) AS both_n
+  FROM postings a JOIN postings b ON a.item = b.item AND a.rep <> b.rep AND a.rep % 20 = 0 GROUP BY a.rep, b.rep)
+SELECT count(DISTINCT (least(q, o), greatest(q, o))) AS links, true AS recall_reached
+FROM overlap WHERE both_n / (nq + n_o - both_n)::DOUBLE >= {LOW}""")
+def shingle_recall_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every text whose id is divisible by 20, by brute force, and whether nine tenths of them are found."""
+    sets = _shingled(spark, sf_dir)
+    found = banded.similar_sets_banded(sets, "doc_id", LOW)
+    reps = sets.join(found.members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    exact = banded.links_of_queries(reps, reps.where(F.col("doc_id") % 20 == 0), "doc_id", LOW)
+    return banded.measured_recall(found, exact).select("links", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 @query()
 def mean_similarity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean over all pairs of documents, however unlike, with its standard error."""
