@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pairloom.functions.vectors import as_double
 from pairloom.session import materialize
 
-# Bytes of vectors one block should receive in a round.
-BLOCK_BYTES = 32 << 20
+# Bytes of vectors one block should hold and receive in a round; rows and frames around them take many times that.
+BLOCK_BYTES = 4 << 20
 # Products of edges and dimensions held at a time.
 CELLS = 1 << 22
 
@@ -26,6 +26,11 @@ def block_of(ident: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int")
 
 
+def blocks_needed(vectors: int, width: int) -> int:
+    """Blocks among which so many vectors, held or received, are dealt."""
+    return math.ceil(vectors * 8 * max(1, width) / BLOCK_BYTES)
+
+
 def adjacency(edges: DataFrame, blocks: int, weight: str = "w") -> DataFrame:
     """Edges ``src, dst`` dealt out to blocks of nodes: ``block, task, src, dst, w, to``.
 
@@ -61,8 +66,8 @@ def rounds_of_sums(edges: DataFrame, emb: DataFrame, rounds: int, weight: str =
     """``rounds`` times the weighted sum of source vectors per destination; one shuffle of vectors a round.
 
     A block adds what it received to its new vectors and sends on at once what the
-    next round needs.  The number of blocks grows with edges and width, so that a
-    block receives about ``BLOCK_BYTES``; a hub may add one vector per block to
+    next round needs.  The number of blocks grows with nodes, edges and width, so that a
+    block holds about ``BLOCK_BYTES``; a hub may add one vector per block to
     that.  Every node with an incoming edge from a node that has a vector is in the
     result.  Edges with a NULL end and NULL vectors count as absent.
     """
@@ -73,8 +78,7 @@ def rounds_of_sums(edges: DataFrame, emb: DataFrame, rounds: int, weight: str =
     if rounds == 0 or first is None:
         return own.toDF(ident, vec)
     if blocks is None:
-        needed = math.ceil(edges.count() * 8 * max(1, first["n"]) / BLOCK_BYTES)
-        blocks = max(needed, emb.sparkSession.sparkContext.defaultParallelism)
+        blocks = max(blocks_needed(own.count() + edges.count(), first["n"]), emb.sparkSession.sparkContext.defaultParallelism)
     held = adjacency(edges, blocks, weight)
     kind = own.schema["id"].dataType.simpleString()
     schema = f"block int, kind int, id {kind}, vec array<double>"

@@ -63,3 +63,9 @@ def test_missing_vectors_null_ends_and_empty_tables(spark):
     assert values(blocked.rounds_of_sums(edges, emb, 0)).keys() == {1}
     with pytest.raises(ValueError):
         blocked.rounds_of_sums(edges, emb, -1)
+
+
+def test_blocks_stay_small_as_nodes_grow():
+    """A block's share of 64-wide vectors is bounded, and small beside what its frames take around them."""
+    for n in (10_000, 1_000_000, 100_000_000):
+        assert n * 64 * 8 / blocked.blocks_needed(n, 64) <= 4 << 20
