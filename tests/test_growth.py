@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 
+import numpy as np
 
-from pairloom.operators import affinity
+from pairloom.operators import affinity, coldfull, splits
 from pairloom.sources import readers
 
 
@@ -45,3 +46,21 @@ def test_small_logs_share_tasks(spark, tmp_path):
     logs = readers.read_run_logs(spark, str(tmp_path))
     assert logs.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     assert {r["run_tag"]: r["log"] for r in logs.collect()} == {f"run_{i}": f"Test AUC: 0.{i}\né" for i in range(1200)}
+
+
+def test_seeds_are_counted_side_by_side(spark):
+    rng = np.random.default_rng(5)
+    pairs = spark.createDataFrame([(int(a), int(b), 1 + int(a) % 3) for a, b in rng.integers(0, 9, (60, 2))], "l long, r long, n long").distinct()
+    seeds = ["42", "139"]
+    label = {(s, e): str(rng.choice(splits.SPLITS)) for s in seeds for e in range(9)}
+    side = spark.createDataFrame([(s, e, x) for (s, e), x in label.items()], "seed string, r long, s string")
+    labels = spark.createDataFrame([(s, e, "train") for s in seeds for e in range(10)], "seed string, l long, s string")
+    assert coldfull._side_by_side(side, "r", seeds).count() == 9
+    out = coldfull.split_counts(pairs, "l", "r", side, labels)
+    # The pairs meet one row per entity, not one per entity and seed.
+    known = pairs.collect()
+    for r in out.collect():
+        assert [r[f"n_{s}"] for s in splits.SPLITS] == [
+            sum(p["n"] for p in known if p["l"] == r["l"] and label[r["seed"], p["r"]] == s) for s in splits.SPLITS
+        ]
+    assert out.count() == 20
