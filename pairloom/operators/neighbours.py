@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import seeded_hash
@@ -16,6 +16,9 @@ from pairloom.session import materialize
 # Vectors in a block, which is what two of meet in a task, and the most centres there are.
 BLOCK_VECTORS = 512
 MAX_CENTRES = 4096
+# Vectors of a tile, two of which meet in a task, and the tiles of a table too small to fill that many.
+TILE_BYTES = 16 << 20
+TILES = 8
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -30,6 +33,37 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _nearest(ids: np.ndarray, a: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``src, dst, distance`` of the ``k`` nearest of each row of ``a``, ties by id.
+
+    Products of the vectors tell which may be near, up to their rounding; those are
+    measured by differences.
+    """
+    held_i, held_id, held_d = np.zeros(0, np.int64), ids[:0], np.zeros(0)
+    bound = np.full(len(a), np.inf)
+    for b_ids, b in others:
+        rough = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
+        margin = 1e-9 * (1.0 + max(np.abs(a).max(), np.abs(b).max()) ** 2 * a.shape[1])
+        same = ids[:, None] == b_ids[None, :]
+        rough[same] = np.inf
+        limit = bound**2
+        if rough.shape[1] > k:
+            limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
+        i, j = np.nonzero((rough <= limit[:, None] + 2 * margin) & ~same)
+        if not len(i):
+            continue
+        i, to = np.concatenate([held_i, i]), np.concatenate([held_id, b_ids[j]])
+        d = np.concatenate([held_d, np.sqrt(((a[i[len(held_i):]] - b[j]) ** 2).sum(axis=1))])
+        order = np.lexsort((to, d, i))
+        i, to, d = i[order], to[order], d[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        full = rank == k - 1
+        bound[i[full]] = d[full]
+        best = rank < k
+        held_i, held_id, held_d = i[best], to[best], d[best]
+    return ids[held_i], held_id, held_d
+
+
 def knn_exact(vectors: DataFrame, ident: str = "id", vec: str = "emb", k: int = 5, seed: int = 42) -> DataFrame:
     """``src, dst, distance, rank``: the ``k`` nearest other vectors of each, ties by id.
 
@@ -39,7 +73,8 @@ def knn_exact(vectors: DataFrame, ident: str = "id", vec: str = "emb", k: int =
     which bounds the distance of every vector's ``k``-th neighbour.  A vector is as
     far from any member of a block as the triangle inequality says of its and their
     distances to that block's centre; round two compares two blocks only where that
-    can be within the bound.  No vector is left out of either round, so the result
+    can be within the bound.  Blocks travel in tiles of ``TILE_BYTES``, once for each
+    other tile with a block to compare.  No vector is left out of either round, so the result
     is exact.
 
     NULL ids or vectors are left out; ids are distinct and vectors of one width.
@@ -99,28 +134,35 @@ def knn_exact(vectors: DataFrame, ident: str = "id", vec: str = "emb", k: int =
 
     blocks = materialize(ordered.mapInArrow(block, f"b long, c int, low double, high double, ids array<{id_type}>, m binary, rs binary"), "knn-blocks")
 
+    # Blocks in a row make a tile; two tiles meet in a task, so a vector travels once for each tile that needs its own.
+    width = centres.shape[1]
+    per_tile = max(1, min(TILE_BYTES // (8 * width), math.ceil(n / TILES)))
+    ahead = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row per block, without its vectors
+    before = F.coalesce(F.sum("_n").over(ahead), F.lit(0))
+    tiles = materialize(blocks.select("b", F.size("ids").alias("_n")).select("b", F.floor(before / per_tile).alias("t")), "knn-tiles")
+
     def nearest_of(pairs: DataFrame) -> DataFrame:
-        """The ``k`` nearest of each vector of block ``x`` among those of block ``y``."""
-        one = blocks.select(F.col("b").alias("x"), F.col("ids").alias("ids_x"), F.col("m").alias("m_x"))
-        two = blocks.select(F.col("b").alias("y"), F.col("ids").alias("ids_y"), F.col("m").alias("m_y"))
-        met = pairs.join(one, "x").join(two, "y").select("ids_x", "m_x", "ids_y", "m_y")
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for ids_x, m_x, ids_y, m_y in zip(*batch.columns):
-                    a_ids, b_ids = np.array(ids_x.as_py()), np.array(ids_y.as_py())
-                    a = np.frombuffer(m_x.as_buffer()).reshape(len(a_ids), -1)
-                    b = np.frombuffer(m_y.as_buffer()).reshape(len(b_ids), -1)
-                    d = _distances(a, b)
-                    d[a_ids[:, None] == b_ids[None, :]] = np.inf
-                    first = np.lexsort((np.broadcast_to(b_ids, d.shape), d), axis=1)[:, :k]
-                    best = np.take_along_axis(d, first, axis=1)
-                    keep = np.isfinite(best)
-                    which = np.nonzero(keep)[0]
-                    columns = [pa.array(a_ids[which]), pa.array(b_ids[first[keep]]), pa.array(best[keep])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["src", "dst", "distance"])
-
-        return met.mapInArrow(compare, f"src {id_type}, dst {id_type}, distance double")
+        """The ``k`` nearest of each vector of block ``x`` among those of the blocks ``y`` of a tile."""
+        of_x, of_y = (tiles.select(F.col("b").alias(e), F.col("t").alias(f"t{e}")) for e in ("x", "y"))
+        listed = materialize(pairs.join(of_x, "x").join(of_y, "y").groupBy("tx", "ty", "x").agg(F.collect_list("y").alias("ys")), "knn-pairs")
+        met = listed.select("tx", "ty").distinct()
+        held = blocks.join(tiles, "b").select("t", "b", "ids", "m")
+        rows = [
+            met.join(held.withColumnRenamed("t", f"t{e}"), f"t{e}").select("tx", "ty", F.lit(e).alias("side"), "b", "ids", "m", F.lit(None).cast("array<bigint>").alias("ys"))
+            for e in ("x", "y")
+        ]
+        pair_list = listed.select("tx", "ty", F.lit("p").alias("side"), F.col("x").alias("b"), F.lit(None).cast(f"array<{id_type}>").alias("ids"), F.lit(None).cast("binary").alias("m"), "ys")
+
+        def compare(table: pa.Table) -> pa.Table:
+            sides: dict[str, dict] = {"x": {}, "y": {}, "p": {}}
+            for side, b, ids, m, ys in zip(*[table.column(c) for c in ("side", "b", "ids", "m", "ys")]):
+                own = ys.as_py() if side.as_py() == "p" else (np.array(ids.as_py()), np.frombuffer(m.as_buffer()).reshape(-1, width))
+                sides[side.as_py()][b.as_py()] = own
+            found = [_nearest(*sides["x"][b], [sides["y"][o] for o in others], k) for b, others in sides["p"].items()]
+            columns = [np.concatenate(c) for c in zip(*found)]
+            return pa.table({name: pa.array(c) for name, c in zip(("src", "dst", "distance"), columns)})
+
+        return rows[0].unionByName(rows[1]).unionByName(pair_list).groupBy("tx", "ty").applyInArrow(compare, f"src {id_type}, dst {id_type}, distance double")
 
     def top(found: DataFrame) -> DataFrame:
         """The ``k`` best of each vector; what tasks give is at most ``k`` to a vector and block."""

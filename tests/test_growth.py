@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from pairloom.operators import affinity, coldfull, splits
+from pairloom.operators import affinity, coldfull, neighbours, splits
 from pairloom.sources import readers
 
 
@@ -64,3 +64,26 @@ def test_seeds_are_counted_side_by_side(spark):
             sum(p["n"] for p in known if p["l"] == r["l"] and label[r["seed"], p["r"]] == s) for s in splits.SPLITS
         ]
     assert out.count() == 20
+
+
+def test_vectors_travel_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, emb array<float>")
+    written, write = {}, neighbours.materialize
+
+    def watched(frame, name):
+        written[name] = write(frame, name)
+        return written[name]
+
+    monkeypatch.setattr(neighbours, "materialize", watched)
+    got = {(r["src"], r["rank"]): r["dst"] for r in neighbours.knn_exact(df, k=3).collect()}
+    x = x.astype(np.float32).astype(np.float64)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    for i in range(300):
+        assert [got[i, r + 1] for r in range(3)] == sorted(range(300), key=lambda j: (d[i, j], j))[:3]
+    # Few tiles meet, however many blocks do.
+    tiles = written["knn-tiles"].select("t").distinct().count()
+    assert tiles <= 2 * neighbours.TILES
+    assert written["knn-blocks"].count() > tiles
