@@ -75,6 +75,7 @@ def eps_edges(
     vec: str = "emb",
     inclusive: bool = False,
     chunk: int | None = None,
+    nearest: int | None = None,
 ) -> DataFrame:
     """Pairs ``src < dst`` of vectors closer than ``tau``, with their distance.
 
@@ -82,7 +83,10 @@ def eps_edges(
     compared, otherwise those in adjacent grid cells.  A group or cell of any
     size is compared in chunks of ``chunk`` vectors, by default as many as fit
     ``CHUNK_BYTES``, so a task holds at most about two chunks, and only the edges
-    leave it.  Within a task :func:`near_pairs` leaves out what a pivot rules out.
+    leave it, a bounded number at a time.  Within a task :func:`near_pairs` leaves
+    out what a pivot rules out.  With ``nearest`` a task gives only the edges that are
+    among so many nearest of either end, ties by id, which is all that :func:`topk`
+    by distance and id of the symmetric edges can ask for.
     """
     g = list(group_cols)
     base = emb.select(*g, F.col(ident).alias("_id"), as_double(F.col(vec)).alias("_v"))
@@ -126,24 +130,67 @@ def eps_edges(
     ]
     schema = StructType(fields)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(frames))
         build, probe = pdf[pdf["_build"]], pdf[pdf["_probe"]]
         if build.empty or probe.empty:
-            return pd.DataFrame({f.name: [] for f in fields})
+            return
         x, y = np.stack(build["_v"].to_numpy()), np.stack(probe["_v"].to_numpy())
-        found = []
+        ids, place = np.unique(np.concatenate([build["_id"].to_numpy(), probe["_id"].to_numpy()]), return_inverse=True)
+        of_x, of_y, home = place[: len(x)], place[len(x) :], probe["_home"].to_numpy()
+        group = {c: pdf[c].iloc[0] for c in g}
+
+        def edges(a: np.ndarray, b: np.ndarray, dist: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({**{c: np.full(len(a), v) for c, v in group.items()}, "src": ids[a], "dst": ids[b], "dist": dist})
+
+        best = Nearest(len(ids), nearest) if nearest else None
         for bi, pi, dist in near_pairs(x, y, tau, inclusive):
-            a, b = build["_id"].to_numpy()[bi], probe["_id"].to_numpy()[pi]
-            keep = np.where(probe["_home"].to_numpy()[pi], a < b, a != b)
+            a, b = of_x[bi], of_y[pi]
+            keep = np.where(home[pi], a < b, a != b)
             a, b, dist = a[keep], b[keep], dist[keep]
-            swap = a > b
-            out = {c: np.full(len(a), pdf[c].iloc[0]) for c in g}
-            found.append(pd.DataFrame({**out, "src": np.where(swap, b, a), "dst": np.where(swap, a, b), "dist": dist}))
-        return pd.concat(found) if found else pd.DataFrame({f.name: [] for f in fields})
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            if best:
+                best.add(a, b, dist)
+            else:
+                yield edges(a, b, dist)
+        if best:
+            yield edges(*best.edges())
 
     return spread.groupBy(*cell, "_b", "_p").applyInPandas(compare, schema)
 
 
+class Nearest:
+    """The edges among the ``k`` nearest of either end, ties by id, of any number that are added."""
+
+    def __init__(self, nodes: int, k: int):
+        self.k, self.bound = k, np.full(nodes, np.inf)
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.limit = 0, max(CELLS // 4, 4 * k * nodes)
+
+    def add(self, a: np.ndarray, b: np.ndarray, dist: np.ndarray) -> None:
+        near = dist <= np.maximum(self.bound[a], self.bound[b])
+        self.kept.append((a[near], b[near], dist[near]))
+        self.size += int(near.sum())
+        if self.size > self.limit:
+            self.edges()
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        a, b, dist = (np.concatenate(c) for c in zip((none, none, np.zeros(0)), *self.kept))
+        wanted = np.zeros(len(a), bool)
+        # Both directions of an edge, each in the order of its source.
+        src, dst = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.lexsort((dst, np.concatenate([dist, dist]), src))
+        sorted_src = src[order]
+        rank = np.arange(len(order)) - np.searchsorted(sorted_src, sorted_src)
+        wanted[order[rank < self.k] % max(len(a), 1)] = True
+        last = order[rank == self.k - 1]
+        self.bound[src[last]] = dist[last % max(len(a), 1)]
+        self.kept = [(a[wanted], b[wanted], dist[wanted])]
+        self.size = int(wanted.sum())
+        return self.kept[0]
+
+
 def near_pairs(x: np.ndarray, y: np.ndarray, tau: float, inclusive: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places in ``x`` and ``y`` of vectors within ``tau``, and their distances, a bounded block at a time.
 
@@ -169,10 +216,13 @@ def near_pairs(x: np.ndarray, y: np.ndarray, tau: float, inclusive: bool = False
         u, v = x[block], y[other]
         rough = (u * u).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2.0 * (u @ v.T)
         i, j = np.nonzero(rough <= tau * tau + margin)
-        i, j = block[i], other[j]
-        dist = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
-        near = dist <= tau if inclusive else dist < tau
-        yield i[near], j[near], dist[near]
+        # Differences take as much room as the vectors: as many at a time as there are cells.
+        some = max(1, CELLS // x.shape[1])
+        for at in range(0, len(i), some):
+            bi, pj = block[i[at : at + some]], other[j[at : at + some]]
+            dist = np.sqrt(((x[bi] - y[pj]) ** 2).sum(1))
+            near = dist <= tau if inclusive else dist < tau
+            yield bi[near], pj[near], dist[near]
 
 
 # --- edge lists ------------------------------------------------------------

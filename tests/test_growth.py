@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tracemalloc
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from pairloom.operators import affinity, coldfull, neighbours, splits
+from pairloom.operators import affinity, coldfull, graph, neighbours, splits
 from pairloom.sources import readers
 
 
@@ -66,6 +68,31 @@ def test_seeds_are_counted_side_by_side(spark):
     assert out.count() == 20
 
 
+def test_near_pairs_measure_a_bounded_number_at_a_time(monkeypatch):
+    monkeypatch.setattr(graph, "CELLS", 1 << 14)
+    x = np.random.default_rng(3).normal(size=(600, 64)) * 1e-3
+    tracemalloc.start()
+    n = sum(len(i) for i, _, _ in graph.near_pairs(x, x, 1.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 600 * 600
+    assert peak < 5 << 20  # one block's differences alone were 8 MB
+
+
+def test_only_nearest_edges_leave_a_task(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CELLS", 1 << 8)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(150, 3)), 1)  # with ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, emb array<double>")
+    order = [F.col("dist"), F.col("dst")]
+    for chunk in (None, 40):
+        every = graph.eps_edges(df, 1.5, chunk=chunk)
+        some = graph.eps_edges(df, 1.5, chunk=chunk, nearest=2)
+        assert some.count() < every.count()
+        top = [{tuple(r) for r in graph.topk(graph.symmetric(e, ["dist"]), 2, order).collect()} for e in (every, some)]
+        assert top[0] == top[1]
+
+
 def test_vectors_travel_in_tiles(spark, monkeypatch):
     rng = np.random.default_rng(6)
     x = np.round(rng.normal(size=(300, 4)), 1)
