@@ -177,6 +177,11 @@ class Nearest:
     def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         none = np.zeros(0, np.int64)
         a, b, dist = (np.concatenate(c) for c in zip((none, none, np.zeros(0)), *self.kept))
+        # An id that repeats gives an edge more than once.
+        order = np.lexsort((dist, b, a))
+        a, b, dist = a[order], b[order], dist[order]
+        other = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        a, b, dist = a[other], b[other], dist[other]
         wanted = np.zeros(len(a), bool)
         # Both directions of an edge, each in the order of its source.
         src, dst = np.concatenate([a, b]), np.concatenate([b, a])

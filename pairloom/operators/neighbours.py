@@ -42,6 +42,9 @@ def _nearest(ids: np.ndarray, a: np.ndarray, others: list[tuple[np.ndarray, np.n
     held_i, held_id, held_d = np.zeros(0, np.int64), ids[:0], np.zeros(0)
     bound = np.full(len(a), np.inf)
     for b_ids, b in others:
+        if len(np.unique(b_ids)) < len(b_ids):  # rows that come twice take the place of others
+            first = list({(i, v.tobytes()): at for at, (i, v) in enumerate(zip(b_ids.tolist(), b))}.values())
+            b_ids, b = b_ids[first], b[first]
         rough = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
         margin = 1e-9 * (1.0 + max(np.abs(a).max(), np.abs(b).max()) ** 2 * a.shape[1])
         same = ids[:, None] == b_ids[None, :]
@@ -56,6 +59,8 @@ def _nearest(ids: np.ndarray, a: np.ndarray, others: list[tuple[np.ndarray, np.n
         d = np.concatenate([held_d, np.sqrt(((a[i[len(held_i):]] - b[j]) ** 2).sum(axis=1))])
         order = np.lexsort((to, d, i))
         i, to, d = i[order], to[order], d[order]
+        other = np.append(True, (i[1:] != i[:-1]) | (to[1:] != to[:-1]) | (d[1:] != d[:-1]))
+        i, to, d = i[other], to[other], d[other]
         rank = np.arange(len(i)) - np.searchsorted(i, i)
         full = rank == k - 1
         bound[i[full]] = d[full]

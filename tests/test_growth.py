@@ -122,3 +122,14 @@ def test_vectors_travel_in_tiles(spark, monkeypatch):
     tiles = written["knn-tiles"].select("t").distinct().count()
     assert tiles <= 2 * neighbours.TILES
     assert written["knn-blocks"].count() > tiles
+
+
+def test_rows_that_come_twice_do_not_push_out_neighbours(spark):
+    x = np.arange(12.0)[:, None] * [1.0, 0.5]
+    once = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, emb array<double>")
+    twice = once.unionByName(once).unionByName(once)
+    order = [F.col("dist"), F.col("dst")]
+    near = [{tuple(r) for r in graph.topk(graph.symmetric(graph.eps_edges(df, 8.0, nearest=n), ["dist"]), 3, order).collect()} for df, n in ((once, None), (twice, 3))]
+    assert near[0] == near[1]
+    known = [{tuple(r) for r in neighbours.knn_exact(df, k=3).collect()} for df in (once, twice)]
+    assert known[0] == known[1]
