@@ -94,6 +94,25 @@ def test_split_links_draws_from_each_splits_own_cells(spark, strategy, per_posit
         assert sum(1 - r["label"] for r in rows) == min(free, 20 * len(links))
 
 
+@pytest.mark.parametrize("strategy", ["cold_drug", "cold_target", "cold_full"])
+def test_all_free_cells_as_runs_are_those_written_out(spark, monkeypatch, strategy):
+    links, link_df, left, right = setup(spark, m=30, n=20, density=0.2)
+    rows = linksplit.split_links(link_df, left, right, strategy, None, (0.5, 0.2, 0.3)).collect()
+    monkeypatch.setattr(pairs, "expand_runs", None)  # nothing is written out
+    monkeypatch.setattr(pairs, "RIGHT_BLOCK", 6)
+    runs = linksplit.split_runs(link_df, left, right, strategy, (0.5, 0.2, 0.3))
+    listed = {s: [sum(r["split"] == s and r["label"] == y for r in rows) for y in (1, 0)] for s in ("train", "val", "test")}
+    free = [(r["drug_id"], r["prot_id"], r["split"]) for r in rows if r["label"] == 0]
+    # As known pairs: the links, and free cells, which are found again as often as they are given.
+    known = spark.createDataFrame([(d, p) for d, p, _ in free[::3]], link_df.select("drug_id", "prot_id").schema).union(link_df.select("drug_id", "prot_id"))
+    for pairs_known, hits in ((link_df, []), (known, free[::3])):
+        got = {r["split"]: r for r in runs.counts(pairs_known).collect()}
+        assert {s: [got[s]["positives"], got[s]["negatives"]] for s in listed} == listed
+        assert {s: got[s]["linked"] for s in listed} == {s: sum(h[2] == s for h in hits) for s in listed}
+    with pytest.raises(ValueError, match="single cells"):
+        linksplit.split_runs(link_df, left, right, "random")
+
+
 def test_cell_numbers_stay_integers(spark):
     n_right = 100_000_007
     cells = [2**57 + 12_345, 2**59 - 1, n_right * 1_441_151_879 - 1, 2**53 + 1]
