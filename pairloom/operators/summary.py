@@ -22,6 +22,44 @@ def profile(rel: DataFrame, group_cols: Sequence[str] = ("split",), left: str =
     )
 
 
+# Repeats of a split whose bits fit a BIGINT.
+MASK_REPEATS = 15
+
+
+def profile_repeats(rel: DataFrame, sides: DataFrame, entity: str, other: str, seeds: Sequence[int], left: str = "drug_id",
+                    label: str = "label") -> DataFrame:
+    """:func:`profile` per ``seed`` and ``split`` of a split by one side, for all seeds at once.
+
+    ``sides`` has a row per seed and value of ``entity`` with its ``split``.  The rows
+    are read once for either side and never repeated for a seed: an entity stands
+    for its rows, and one of the other side keeps a bit for each split that it meets.
+    """
+    if len(seeds) > MASK_REPEATS:
+        parts = [profile_repeats(rel, sides, entity, other, some, left, label) for some in (seeds[:MASK_REPEATS], seeds[MASK_REPEATS:])]
+        return parts[0].unionByName(parts[1])
+    cells = [(s, k) for s in seeds for k in ("train", "val", "test", "unused")]
+    bit = {c: 1 << i for i, c in enumerate(cells)}
+
+    def each(hits: Column) -> Column:
+        return F.inline(F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(k).alias("split"), hits.bitwiseAND(F.lit(b)).alias("hit")) for (s, k), b in bit.items()]))
+
+    own = F.sum(F.coalesce(*[F.when((F.col("seed") == s) & (F.col("split") == k), F.lit(b)) for (s, k), b in bit.items()]).cast("bigint"))
+    masks = sides.where(F.col(entity).isNotNull()).groupBy(entity).agg(own.alias("_mask"))
+    missing = F.lit(sum(bit[s, "unused"] for s in seeds)).cast("bigint")
+    counted = rel.groupBy(entity).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) == 0).alias("negatives")
+    ).join(masks, entity, "left").withColumn("_mask", F.coalesce("_mask", missing))
+    sums = counted.select(entity, "rows", "positives", "negatives", each(F.col("_mask"))).where("hit <> 0").groupBy("seed", "split").agg(
+        *[F.sum(c).alias(c) for c in ("rows", "positives", "negatives")], F.count(entity).alias("_own")
+    )
+    met = rel.select(other, entity).join(masks, entity, "left").groupBy(other).agg(F.bit_or(F.coalesce("_mask", missing)).alias("_mask"))
+    found = met.select(other, each(F.col("_mask"))).where("hit <> 0").groupBy("seed", "split").agg(F.count(other).alias("_other"))
+    drugs, targets = ("_own", "_other") if entity == left else ("_other", "_own")
+    return sums.join(found, ["seed", "split"]).select(
+        "seed", "split", "rows", "positives", "negatives", F.col(drugs).alias("drugs"), F.col(targets).alias("targets")
+    )
+
+
 def class_histogram(rel: DataFrame, label: str = "label") -> DataFrame:
     return rel.groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
 

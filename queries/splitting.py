@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import row_key, seeded_hash
 from pairloom.operators import coldfull, normalize, sampling, splits, summary
+from pairloom.session import materialize
 from queries import query
 from queries import bindings as B
 
@@ -92,11 +93,12 @@ SELECT CAST(seed AS INTEGER) AS seed, split, count(*) AS rows, count(*) FILTER (
   count(*) FILTER (label = 0) AS negatives, count(DISTINCT drug_id) AS drugs, count(DISTINCT prot_id) AS targets
 FROM rel JOIN es USING (prot_id) GROUP BY seed, split""")
 def split_many_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeats as a column: one job splits the relation for every seed."""
-    seeds = F.explode(F.array(*[F.lit(B.SEED + i) for i in range(5)]))
-    rel = B.relation(spark, sf_dir).withColumn("seed", seeds)
-    split = splits.split_cold(rel, "prot_id", seed=F.col("seed"), group_cols=["seed"])
-    return summary.profile(split, ["seed", "split"])
+    """Repeats as a column of the entities: one job splits the relation for every seed."""
+    seeds = [B.SEED + i for i in range(5)]
+    rel = B.relation(spark, sf_dir)
+    targets = materialize(rel.select("prot_id").distinct(), "targets").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    split = splits.split_cold(targets, "prot_id", seed=F.col("seed"), group_cols=["seed"])
+    return summary.profile_repeats(rel, materialize(split, "target-split"), "prot_id", "drug_id", seeds)
 
 
 def _balanced(spark: SparkSession, sf_dir: str, ratio: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import hex_threshold, seeded_hash
-from pairloom.operators import coldfull, sampling, splits
+from pairloom.operators import coldfull, sampling, splits, summary
 
 
 def md5(seed, key):
@@ -185,3 +185,17 @@ def test_strategies(spark):
         out = splits.split_relation(rel, strategy, F.col("row_key"), ratio=(0.5, 0.2, 0.3), balanced=True, attempts=1)
         per = out.groupBy("split").agg(F.sum("label").alias("p"), F.count("*").alias("n")).collect()
         assert len(per) == 3 and all(r["n"] <= 2 * r["p"] for r in per)
+
+
+@pytest.mark.parametrize("entity, other", [("prot_id", "drug_id"), ("drug_id", "prot_id")])
+def test_repeats_are_profiled_as_rows_of_every_seed(spark, entity, other):
+    """Missing ids and labels included; no plan repeats the rows for the seeds."""
+    lines = [(None if i % 41 == 0 else i % 13, None if i % 37 == 0 else i % 7 * 3 + i % 2, None if i % 11 == 0 else i % 3 % 2) for i in range(600)]
+    rel = spark.createDataFrame(lines, "drug_id int, prot_id int, label int")
+    seeds = list(range(42, 60))
+    each = F.explode(F.array(*[F.lit(s) for s in seeds]))
+    by = {"seed": F.col("seed"), "group_cols": ["seed"], "ratio": (0.5, 0.2, 0.3)}
+    want = summary.profile(splits.split_cold(rel.withColumn("seed", each), entity, **by), ["seed", "split"])
+    sides = splits.split_cold(rel.select(entity).distinct().withColumn("seed", each), entity, **by)
+    got = summary.profile_repeats(rel, sides, entity, other, seeds)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
