@@ -85,3 +85,20 @@ def test_tables_number_in_order_of_appearance(spark):
     relation = {r["source_row"]: (r["drug_id"], r["prot_id"], r["label"]) for r in tables.relation.collect()}
     assert len(relation) == 40
     assert relation[3] == (f"drug_{seen.index('s1'):06d}", "protein_000000", 1)
+
+
+def test_fill_moves_no_row_where_no_id_is_missing(spark):
+    from pyspark.sql import functions as F
+
+    from pairloom.operators import affinity
+
+    rows = spark.createDataFrame([(i, f"g{i % 3}" if i % 5 else None, f"id{i}", "long text") for i in range(40)], "row long, seq string, target_id string, rest string")
+    filled = affinity.fill_ids(rows, "seq", "target_id", "row")
+    assert "Exchange" not in filled._jdf.queryExecution().executedPlan().toString()
+    assert {r["row"]: r["target_id"] for r in filled.collect()} == {i: f"id{i}" if i % 5 else None for i in range(40)}
+    some = rows.withColumn("target_id", F.when(F.col("row") % 4 != 2, F.col("target_id")))
+    got = {r["row"]: (r["target_id"], r["rest"]) for r in affinity.fill_ids(some, "seq", "target_id", "row", block=8).collect()}
+    for i in range(40):
+        own = [j for j in range(40) if j % 3 == i % 3 and j % 5 and j % 4 != 2]
+        before = [j for j in own if j <= i]
+        assert got[i] == ((f"id{before[-1] if before else own[0]}") if i % 5 else None, "long text")
