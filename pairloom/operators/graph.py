@@ -210,8 +210,14 @@ def near_pairs(x: np.ndarray, y: np.ndarray, tau: float, inclusive: bool = False
     ox, oy = np.argsort(dx, kind="stable"), np.argsort(dy, kind="stable")
     dx, dy = dx[ox], dy[oy]
     slack = tau * (1 + 1e-9) + 1e-9 * (1.0 + (dx[-1] if len(dx) else 0.0))
-    # The product form loses digits near zero: keep a margin, then measure.
-    margin = 1e-9 * (1.0 + max(np.abs(x).max(), np.abs(y).max()) ** 2 * x.shape[1])
+    # The product form loses digits near zero, and more in short numbers: keep a margin, then measure.
+    largest = max(np.abs(x).max(), np.abs(y).max())
+    kind = np.float32 if largest < 1e12 else np.float64
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    margin = 1e-9 * (1.0 + largest**2 * x.shape[1]) + 4 * (x.shape[1] + 4) * np.finfo(kind).eps * (xx.max() + yy.max())
+    # One product gives the squares of distances: each vector with its own square beside it.
+    left = np.column_stack([-2.0 * x, xx, np.ones(len(x))]).astype(kind)
+    right = np.column_stack([y, np.ones(len(y)), yy]).astype(kind)
     step = max(1, min(512, CELLS // max(1, len(y))))
     for first in range(0, len(x), step):
         block = ox[first : first + step]
@@ -219,9 +225,8 @@ def near_pairs(x: np.ndarray, y: np.ndarray, tau: float, inclusive: bool = False
         other = oy[low:high]
         if not len(other):
             continue
-        u, v = x[block], y[other]
-        rough = (u * u).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2.0 * (u @ v.T)
-        i, j = np.nonzero(rough <= tau * tau + margin)
+        rough = left[block] @ right[other].T
+        i, j = np.divmod(np.flatnonzero(rough.ravel() <= tau * tau + margin), len(other))
         # Differences take as much room as the vectors: as many at a time as there are cells.
         some = max(1, CELLS // x.shape[1])
         for at in range(0, len(i), some):

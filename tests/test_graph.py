@@ -210,3 +210,16 @@ def test_one_item_in_every_set(spark):
     plain = [(i, frozenset(s)) for i, s in rows]
     expected = {(i, j) for i, a in plain for j, b in plain if i < j and len(a & b) / len(a | b) >= 0.8}
     assert got == expected and len(expected) >= 150
+
+
+def test_near_pairs_in_short_numbers():
+    """Vectors far from the origin, just within and beyond the limit: short numbers screen, whole ones decide."""
+    rng = np.random.default_rng(11)
+    for shift in (0.0, 30.0, 1e14):
+        x = rng.normal(0, 0.5, (300, 16)) + shift
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        tau = float(np.sort(d.ravel())[4000])
+        for inclusive in (False, True):
+            got = [(a, b) for i, j, _ in graph.near_pairs(x, x, tau, inclusive) for a, b in zip(i.tolist(), j.tolist())]
+            near = d <= tau if inclusive else d < tau
+            assert len(got) == len(set(got)) and set(got) == set(zip(*map(np.ndarray.tolist, np.nonzero(near))))
